@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 
-from . import near_dup
+from . import bpe, line_dedup, mixing, near_dup, toxicity
 
 QUERIES = {
+    "op1_source_mixing": mixing.op1_source_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_bpe_encode_decode": bpe.op3_bpe_encode_decode,
     "op4_minhash_near_dedup": near_dup.op4_minhash_near_dedup,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
