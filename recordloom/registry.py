@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .operators import causal, insights, recall
+
+QUERIES: dict = {**recall.QUERIES, **insights.QUERIES, **causal.QUERIES}
+ORACLE_SQL: dict[str, str] = {**recall.ORACLE_SQL, **insights.ORACLE_SQL, **causal.ORACLE_SQL}
