@@ -31,7 +31,7 @@ from .common import raw, slices, span_hashes
 
 VOCABULARY = os.environ.get("BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF, LONG, WINDOW, BATCH = 4096, 65536, 8, 6_000_000
+LEAF, LONG, WINDOW, BATCH = 4096, 65536, 8, 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _READY: dict = {}
