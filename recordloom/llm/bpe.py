@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, slices, span_hashes
+from .common import raw, slices, small_batches, span_hashes
 
 VOCABULARY = os.environ.get("BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -255,6 +255,7 @@ def _check_long(path: str, at: int):
 
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", vocabulary: str = VOCABULARY, long: int = LONG) -> DataFrame:
     """The columns `keep`, n_tokens, tokens, and whether decoding them gave the text again."""
+    small_batches(docs.sparkSession)
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text"))
     at, fields = len(keep), ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{fields}{', ' if fields else ''}n_tokens bigint, tokens array<int>, round_trip boolean"

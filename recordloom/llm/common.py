@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 BLOCK = 1 << 20
@@ -30,15 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes, unless the session says otherwise: 10,000 long texts in one would fill a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.isModifiable(name) or spark.sparkContext.getConf().get(name):
+        return
+    spark.conf.set(name, str(4 << 20))
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/recordloom/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, total: int, sample: int, key: Column) -> DataFrame:
+    """At most `sample` of about `total` rows: those with the smallest hash of the key.
+
+    Only rows below a hash that about twice as many lie below are put in order, so what moves doesn't grow with the table.
+    """
+    h = F.pmod(key, F.lit(1 << 40))
+    few = rows.where(h < F.lit(int(min(1.0, 2 * sample / max(1, total)) * (1 << 40)))) if total else rows
+    return few.orderBy(h).limit(sample)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with about `limit` bytes in the column each; a longer text makes a batch of its own."""
+    batch = None
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -51,6 +72,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = BLOCK) -
             to = max(at + 1, int(np.searchsorted(total, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    del batch
+    pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

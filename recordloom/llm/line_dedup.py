@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_out, raw, slices, written
+from .common import U64, arrow_out, raw, slices, small_batches, written
 
 SLOT_BITS, PROBES, BITS_PER_LINE = 1 << 20, 4, 8
 MAX_BITS = 1 << 29
@@ -130,6 +130,7 @@ def suspects(lines: DataFrame, total: int, max_bits: int = MAX_BITS) -> DataFram
 
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, drop: numbers from 0 of the lines of that document that occurred before."""
+    small_batches(docs.sparkSession)
     own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = written(own.mapInArrow(_hash_lines, "doc_id bigint, line int, h bigint, g bigint"), "lines")
     s = written(suspects(lines, lines.count(), max_bits), "suspects")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_out, mix, raw, segments, slices, words, written
+from .common import U64, arrow_out, mix, raw, segments, slices, small_batches, words, written
 
 K, BITS, ROWS, BANDS, SHINGLE = 256, 2, 5, 32, 3
 THRESHOLD, SLACK, SEED = 0.6, 0.04, 7
@@ -111,6 +111,7 @@ def _sign(batches):
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sk (hash of all minima), sig (packed low bits), bands (keys) of every text with a word."""
+    small_batches(docs.sparkSession)
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(_sign, "doc_id bigint, sk bigint, sig binary, bands array<bigint>")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, raw, segments, slices, words
+from .common import U64, raw, segments, slices, small_batches, words
 
 BITS, GRADES, SAMPLE, CUT, DECAY = 18, 3, 8000, 0.5, 2e-5
 
@@ -141,6 +141,7 @@ def _featurize(batches):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model fitted to at most `sample` labelled rows of docs (doc_id, text) and labels (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic"))
     chosen = own.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("text").cast("string").alias("__text"))
@@ -174,6 +175,7 @@ def _scores(shared):
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, expected_severity, p1..p3 (probability of at least that grade), grade (largest that is likely), toxic."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_scores(shared), "doc_id bigint, expected_severity double, p1 double, p2 double, p3 double, grade int, toxic boolean")
@@ -189,6 +191,7 @@ def _clean(shared, text_at: int):
 
 def stage(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't toxic, as they are."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_clean(shared, docs.columns.index("text")), docs.schema)
 
