@@ -5,7 +5,7 @@ slide over the window, each filter's largest output is kept, and a dense layer w
 probabilities are the softmax of its windows' mean log probabilities, each window counting by its number of bytes.  All windows
 of the whole text are classified.
 
-The network is fitted in numpy with Adam to at most `sample` labelled rows, those with the smallest hash of their id, and at most
+The network is fitted in numpy with Adam to at most `sample` labelled rows, those with the smallest hash of id and text, and at most
 PER_TEXT windows of each, which are spread over the whole text.  For use, embedding and filters are folded into one table by byte pair.
 
 Defined cases: null or empty text has language "und" with probability 0 and no windows; without labels every text is "und"; null
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import bounded_sample, raw, slices
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
 SAMPLE, PER_TEXT, EPOCHS, BATCH, RATE, SEED = 3000, 6, 5, 128, 0.01, 11
@@ -131,8 +131,9 @@ def _pick(batches):
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The network fitted to at most `sample` rows of docs (doc_id, text, lang) with a language."""
-    rows = docs.select(F.col("lang").cast("string").alias("label"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id")).alias("h")).where("label is not null and octet_length(text) > 0")
-    chosen = rows.orderBy("h", F.xxhash64("text")).limit(sample).select("label", "text")
+    labelled = docs.where(F.col("lang").isNotNull())
+    rows = labelled.select(F.col("lang").cast("string").alias("label"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h")).where("octet_length(text) > 0")
+    chosen = bounded_sample(rows, labelled.count(), sample, F.col("h")).select("label", "text")
     table = chosen.mapInArrow(_pick, "label string, window binary").toArrow()
     names = table["label"].to_pylist()
     labels = sorted(set(names))
