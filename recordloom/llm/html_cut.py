@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_sample, slices
 
 SAMPLE, SCALE, MAX_ODDS, NEXT, SIBLING = 1500, 1000, 6.0, 0.8, 0.6
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<![^<>]*>|[^<]+|<", re.S | re.I)
@@ -246,8 +246,8 @@ def _collect(batches):
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """The classifier's weights, fitted to at most `sample` pages (page_id, html)."""
-    own = pages.select(F.col("html").cast("string").alias("html"), F.xxhash64("page_id").alias("h")).where("html is not null")
-    table = own.orderBy("h", F.xxhash64("html")).limit(sample).select("html").mapInArrow(_collect, "x binary, y binary").toArrow()
+    own = pages.select(F.col("html").cast("string").alias("html"), F.xxhash64("page_id", "html").alias("h")).where("html is not null")
+    table = bounded_sample(own, pages.count(), sample, F.col("h")).select("html").mapInArrow(_collect, "x binary, y binary").toArrow()
     x = np.frombuffer(b"".join(table["x"].to_pylist()), float).reshape(-1, 11)
     return fit(x, np.frombuffer(b"".join(table["y"].to_pylist()), np.int8).astype(float))
 
