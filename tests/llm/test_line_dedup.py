@@ -67,7 +67,7 @@ def test_defined_cases(spark, rows):
     by = {r.doc_id: r for r in got}
     if rows:
         assert by[1].text is None and by[2].text == "" and by[3].text == "\n\n" and by[None].text == "a\na"
-        assert by[4].text == "a\r\nb\n" and by[4].n_dropped == 1 and by[5].text == ""
+        assert by[4].text == "a\r\nb\n\n" and by[4].n_dropped == 1 and by[5].text == ""
     out = ld.stage(df)
     assert out.columns == df.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == (["1", "2", "3", "4", "None"] if rows else [])
