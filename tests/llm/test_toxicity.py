@@ -62,3 +62,29 @@ def test_defined_cases(spark, labels):
     kept = tx.stage(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(not r.toxic for r in got)
     assert tx.severity(docs.limit(0), model).count() == 0
+
+
+def test_rare_words_in_long_texts_of_several_languages(spark):
+    rng = random.Random(3)
+    parts = {"a": "abcdefg", "m": "mnopqrs"}
+    usual = {k: ["".join(rng.choices(v, k=rng.randrange(2, 6))) for _ in range(400)] for k, v in parts.items()}
+    bad = {"a": [f"aa{i}" for i in "bcdefghijk"], "m": [f"mm{i}" for i in "bcdefghijk"]}
+    rows, toxic, langs = [], [], []
+    for i in range(1600):
+        lang = "a" if rng.random() < 0.75 else "m"
+        w = rng.choices(usual[lang], k=rng.randrange(50, 900))
+        toxic.append(rng.random() < 0.12)
+        if toxic[-1]:
+            for word in rng.sample(bad[lang], 3):
+                w[rng.randrange(len(w))] = word
+        rows.append((i, " ".join(w)))
+        langs.append(lang)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic[:1100])], "doc_id long, toxic int")
+    model = tx.train(docs, labels)
+    got = {r.doc_id: r.toxic for r in tx.severity(docs, model).collect()}
+    held = range(1100, 1600)
+    for lang in parts:
+        assert np.mean([got[i] for i in held if toxic[i] and langs[i] == lang]) >= 0.85
+    assert np.mean([got[i] for i in held if not toxic[i]]) <= 0.02
+    assert {r.doc_id for r in tx.stage(docs, model).select("doc_id").collect()} == {i for i, t in got.items() if not t}
