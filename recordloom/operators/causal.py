@@ -15,21 +15,39 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
-def _edges(spark, sf_dir):
-    # each event with its next SUCCESSORS of the same user: a bounded window, not a join of all pairs
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    nxt = F.collect_list(F.struct(F.col("event_id").alias("id"), "event_type", "us")).over(w.rowsBetween(1, SUCCESSORS))
-    e = _events(spark, sf_dir).withColumn("l", nxt).withColumn("n", F.explode("l"))
-    return e.where((F.col("n.us") > F.col("us")) & (F.col("n.us") - F.col("us") <= WEEK * 1000000)).select(F.col("event_id").alias("cause"), F.col("n.id").alias("effect"), F.col("event_type").alias("cause_type"), F.col("n.event_type").alias("effect_type"), (F.col("n.us") - F.col("us")).alias("gap_us"))
-
-
 def causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).select("cause", "effect", "gap_us")
+    """Each event with all later ones of the same user within seven days: an equi-join on user and day, not a range join."""
+    day = F.floor(F.col("us") / 86400000000).cast("bigint")
+    e = _events(spark, sf_dir).select("user_id", "event_id", "us", day.alias("day"))
+    right = e.select("user_id", F.explode(F.sequence(F.col("day") - 7, F.col("day"))).alias("day"), F.col("event_id").alias("effect"), F.col("us").alias("us2"))
+    gap = F.col("us2") - F.col("us")
+    return e.join(right, ["user_id", "day"]).where((gap > 0) & (gap <= WEEK * 1000000)).select(F.col("event_id").alias("cause"), "effect", gap.alias("gap_us"))
+
+
+def _probes(spark, sf_dir):
+    """Each event with each type that its user has: event_id, own type, us, value, type, n_after and n_before, the user's events of that
+    type within seven days after it and before it.  Differences of running counts; pairs are not listed."""
+    e = _events(spark, sf_dir).where("user_id is not null and us is not null")
+    types = e.select("user_id", F.col("event_type").alias("type")).distinct()
+    probe = e.join(types, "user_id").select("user_id", "type", "us", F.lit(0).alias("n"), F.col("event_type").alias("own"), "value")
+    w = Window.partitionBy("user_id", "type").orderBy("us")
+    upto = lambda d: F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, d)), F.lit(0))
+    both = probe.unionByName(e.select("user_id", F.col("event_type").alias("type"), "us", F.lit(1).alias("n"), F.col("event_type").alias("own"), "value"))
+    week = WEEK * 1000000
+    return both.select("*", (upto(week) - upto(0)).alias("n_after"), (upto(-1) - upto(-week - 1)).alias("n_before")).where("n = 0")
+
+
+def _ends(spark, sf_dir):
+    """By pair of types, its causes and effects: us, value, support (effects of a cause), is_cause, is_effect."""
+    side = lambda c, e, n, cause: F.struct(F.col(c).alias("cause_type"), F.col(e).alias("effect_type"), F.col(n).alias("n"), F.lit(cause).alias("is_cause"))
+    two = F.explode(F.array(side("own", "type", "n_after", 1), side("type", "own", "n_before", 0)))
+    p = _probes(spark, sf_dir).select("us", "value", two.alias("x")).select("us", "value", "x.*").where("n > 0")
+    return p.select("cause_type", "effect_type", "us", "value", (F.col("n") * F.col("is_cause")).alias("support"), "is_cause", (1 - F.col("is_cause")).alias("is_effect"))
 
 
 def causal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By pair of types: support, transition lift against the effect's share (at most 5, in fifths), strength with the log of the support."""
-    g = _edges(spark, sf_dir).groupBy("cause_type", "effect_type").agg(F.count(F.lit(1)).alias("support"), F.countDistinct("cause").alias("causes"), F.countDistinct("effect").alias("effects"))
+    g = _ends(spark, sf_dir).groupBy("cause_type", "effect_type").agg(F.sum("support").alias("support"), F.sum("is_cause").alias("causes"), F.sum("is_effect").alias("effects"))
     total = _events(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
     lift = F.least((F.col("support") / F.col("causes")) / (F.col("effects") / F.col("total")), F.lit(5.0)) / 5
     full = 0.35 * F.col("lift") + 0.30 + 0.15 * F.least(F.log(1.0 + F.col("support")) / F.log(F.lit(11.0)), F.lit(1.0))
