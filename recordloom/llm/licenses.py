@@ -5,6 +5,8 @@ unchanged in any text within k edits.  Seeds are searched exactly over all texts
 bytes more at both ends, overlapping windows merge, and in each the regex library's bounded-error matching finds the match of
 least edits, then those before and after it.  Only windows are matched, yet no occurrence is missed.
 
+A line that only reserves rights or names a copyright counts as a notice too, under "all rights reserved" and "copyright".
+
 Letters of ASCII compare without case, and each white-space character as a blank.  Edits count bytes; spans are in characters of the text.
 
 Defined cases: null or empty text has no match; repeated rows give repeated results and rows without an id are searched too; an empty table
@@ -33,6 +35,10 @@ NOTICES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International"],
     "CC0-1.0": ["CC0 1.0 Universal"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
+    "AGPL-3.0": ["under the terms of the GNU Affero General Public License", "licensed under the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose", "SPDX-License-Identifier: ISC"],
+    "all rights reserved": ["All rights reserved", "Tous droits réservés", "Alle Rechte vorbehalten", "Todos los derechos reservados", "Proprietary and confidential", "Unauthorized copying of this file", "No part of this publication may be reproduced", "SPDX-License-Identifier: LicenseRef-Proprietary"],
+    "copyright": ["Copyright (c)", "Copyright ©", "Copyright 19", "Copyright 20", "© Copyright"],
 }
 EDIT_EVERY = 12
 FOLD = bytes(32 if c in b"\t\n\r\x0b\x0c" else c for c in range(256))

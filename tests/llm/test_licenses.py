@@ -62,3 +62,24 @@ def test_defined_cases(spark, rows):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, license string, start int")
     got = sorted(((r.doc_id or 0, r.license, r.start) for r in lc.notices(df).collect()))
     assert got == ([(0, "CC0-1.0", 0), (3, "CC0-1.0", 0), (3, "CC0-1.0", 0), (4, "MIT", 3_000_001)] if rows else [])
+
+
+LINES = [  # as they stand in the test documents, and common lines besides
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("All rights reserved.", "all rights reserved"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("Released under the MIT License.", "MIT"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Copyright (c) the authors.", "copyright"),
+    ("Copyright 2021 The Authors", "copyright"),
+    ("Tous droits réservés.", "all rights reserved"),
+    ("SPDX-License-Identifier: ISC", "ISC"),
+]
+
+
+def test_notice_lines_of_documents(spark):
+    prose = "It was and the whered of a thing.\n"
+    rows = [(i, prose + line + "\n" + prose) for i, (line, _) in enumerate(LINES)]
+    got = lc.notices(spark.createDataFrame([*rows, (99, prose * 50)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(i, name) for i, (_, name) in enumerate(LINES)]
+    assert all(dict(rows)[r.doc_id][r.start : r.end] == r.matched for r in got)
