@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +14,7 @@ from ..sources.records import AUTHORITY, LINKS_SQL, NOW, RECORDS_SQL, links, rec
 
 ASKED = ("en src1 size2", "de src3 the of and")
 K, PER_SIGNAL = 10, 40
+TOP, BLOCK_ROWS = 20, 4096
 
 
 def _queries(spark: SparkSession) -> DataFrame:
@@ -43,14 +47,57 @@ def token_jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_signal(spark, sf_dir, 20).select("query", "id", "score", "rank")
 
 
+def _unit(table: pa.Table) -> tuple[dict, np.ndarray]:
+    """Rows of each vector length with their unit vectors, and the rows' ids; vectors that are zero or hold a null or an infinite part are left out."""
+    ids = table["id"].combine_chunks()
+    column = table["v"].combine_chunks()
+    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(float)
+    start = np.concatenate([[0], np.cumsum(size)])
+    out = {}
+    for d in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == d)
+        m = flat[start[rows][:, None] + np.arange(d)]
+        norm = np.sqrt((m * m).sum(axis=1))
+        ok = np.isfinite(norm) & (norm > 0)
+        out[int(d)] = rows[ok], m[ok] / norm[ok, None]
+    return out, ids.fill_null(-(1 << 63)).to_numpy()  # null comes first, as in the order of Spark
+
+
+def _block_pair(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The best TOP of the right block for each row of the left one, equal scores by id; rows left without a positive score give none."""
+    queries, _ = _unit(left)
+    others, ids = _unit(right)
+    found = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
+    for d, (rows, m) in queries.items():
+        if d not in others or not others[d][0].size:
+            continue
+        cols, v = others[d]
+        for lo in range(0, rows.size, 512):
+            score = np.round(m[lo : lo + 512] @ v.T, 6)
+            least = np.partition(score, -TOP, axis=1)[:, -TOP] if cols.size > TOP else np.full(score.shape[0], -np.inf)
+            r, c = np.nonzero((score >= least[:, None]) & (score > 0))
+            value = score[r, c]
+            order = np.lexsort((ids[cols[c]], -value, r))
+            r, c, value = r[order], c[order], value[order]
+            place = np.arange(r.size) - np.searchsorted(r, r)
+            keep = place < TOP
+            found = [np.concatenate(x) for x in zip(found, (rows[lo + r[keep]], cols[c[keep]], value[keep]), strict=True)]
+    q, c, value = found
+    return pa.table({"row": left["row"].take(pa.array(q)), "query": left["id"].take(pa.array(q)), "vec_id": right["id"].take(pa.array(c)), "score": pa.array(value, pa.float64())})
+
+
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors nearest to the first one by cosine; a vector of another length or without length counts as 0."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id = 0").select(F.col("v").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    size = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("q"), F.col("q")))
-    score = F.when((F.size("v") == F.size("q")) & (size > 0), dot(F.col("v"), F.col("q")) / size).otherwise(0.0)
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "vec_id").limit(20)
+    """For each vector the TOP nearest by cosine, itself among them: query, vec_id, score; a vector of another length or without length
+    counts as 0.  All pairs are compared, by matrix products of blocks of about BLOCK_ROWS vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("v"))
+    n = max(1, -(-e.count() // BLOCK_ROWS))
+    own, every = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = e.select("*", own.alias("a"), every.alias("b"))
+    right = e.select("*", own.alias("b"), every.alias("a"))
+    best = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_block_pair, "row bigint, query bigint, vec_id bigint, score double")
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= TOP).select("query", "vec_id", "score")
 
 
 def fuse(signals: DataFrame, n_signals: int) -> DataFrame:
