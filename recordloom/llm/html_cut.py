@@ -13,8 +13,9 @@ The classifier is fitted in numpy to at most `sample` pages, those with the smal
 paragraph are content and those within navigation, header, footer, aside, form and advertising boilerplate; it sees none of these names but
 "p", only the block's own text, links, tag kind and place.
 
-Defined cases: null or empty html has no blocks and an empty text; unclosed and stray tags are tolerated; comments, scripts, styles and the
-head are no text; repeated rows and rows without an id are treated like others; an empty table gives an empty result; other columns are not
+Defined cases: null or empty html has no blocks and an empty text; unclosed and stray tags are tolerated; comments, scripts, styles, the
+head, and noscript and template are no text; a head also ends before the first tag or text that can't stand in one, and a noscript or template
+that isn't closed hides nothing; repeated rows and rows without an id are treated like others; an empty table gives an empty result; other columns are not
 read.  Of equally good cuts the one with the fewest content blocks among those left to the flow counts; without both kinds of block to fit on,
 every block is content.
 """
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, slices
 
 SAMPLE, SCALE, MAX_ODDS, NEXT, SIBLING = 1500, 1000, 6.0, 0.8, 0.6
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<![^<>]*>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<![^<>]*>|[^<]+|<", re.S | re.I)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|head|body)\b[^<>]*>", re.S | re.I)
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _NEST = _BLOCK - {"br", "hr"}
 _LOOSE = frozenset({"p", "li", "dd", "dt", "tr", "td", "th", "option"})
@@ -53,11 +56,31 @@ class Block:
     weak: int  # 1 content, 0 boilerplate, -1 not known
 
 
+def hidden(page: str) -> dict[int, int]:
+    """Start and end of each closed noscript and template; one that isn't closed before the head or body ends hides nothing."""
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    for m in _HIDDEN.finditer(page):
+        name = (m.group(3) or "").lower()
+        if name in ("noscript", "template") and not m.group(2):
+            opened.append((name, m.start()))
+        elif name in ("noscript", "template"):
+            for i in range(len(opened) - 1, -1, -1):
+                if opened[i][0] == name:
+                    ends[opened[i][1]] = m.end()
+                    del opened[i:]
+                    break
+        elif name == "body" or (name == "head" and m.group(2)):
+            opened.clear()
+    return ends
+
+
 def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # tag, number, whether boilerplate lies around
     parts: list[str] = []
     linked, in_link, number = 0, 0, 0
+    ends, until, in_head, in_title = hidden(page or ""), 0, False, False
 
     def close():
         nonlocal linked
@@ -70,15 +93,31 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     for m in _TOKEN.finditer(page or ""):
+        if m.start() < until:
+            continue
+        until = ends.get(m.start(), 0)
         name = m.group(3)
         if name is None:
             piece = m.group()
             if piece[0] != "<" or piece == "<":
+                if in_head and (in_title or not piece.strip()):
+                    continue
+                in_head = False  # text can't stand in a head
                 parts.append(piece)
                 if in_link:
                     linked += len(piece.strip())
             continue
         name = name.lower()
+        if name == "head" and not m.group(2):
+            in_head, in_title = True, False
+        elif in_head:
+            in_title = not m.group(2) if name == "title" else in_title
+            if name in ("head", "html", "body") and m.group(2):
+                in_head = False
+            elif name not in _HEAD and (not m.group(2) or name == "br"):
+                in_head = False
+            if in_head:
+                continue
         if name == "a":
             in_link = 0 if m.group(2) else 1
         if name not in _BLOCK:

@@ -58,3 +58,26 @@ def test_defined_cases(spark, rows):
     by = {r.page_id: r for r in got}
     if rows:
         assert by[1].text == "" and by[2].n_blocks == 0 and by[3].text == "plain" and by[None].n_content == 1
+
+
+BODY = "<p>one</p><header>two</header>three"
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><body>" + BODY,
+    "<html><HEAD lang=en><meta charset=utf-8><title>T</title><link rel=x>" + BODY,
+    "<head><title>T" + BODY,
+    "<head><title>T</title><script>a<b</script><noscript><style>p{}</style></noscript></head><body>" + BODY,
+    "<head><title>T</title><noscript><link rel=x><body>" + BODY,
+    "<body><noscript>" + BODY,
+    "<body><template>" + BODY,
+    "<body><template>a<template>b</template>c</template>" + BODY + "<noscript>gone</noscript>",
+    "<body><noscript>" + BODY.replace("three", "three<noscript>gone</noscript>"),
+    "<head><title>T</title></head></div><body><!-- <noscript> -->" + BODY + "<script>'<template>'</script>",
+])
+def test_unclosed_head_noscript_and_template(page):
+    assert [b.text for b in hc.blocks(page)] == ["one", "two", "three"]
+
+
+def test_text_ends_a_head():
+    assert [b.text for b in hc.blocks("<head><title>T</title>\nplain text")] == ["plain text"]
