@@ -10,8 +10,10 @@ theirs; every pair of the result lies in the left half, the window or the right
 than LONG bytes are cut into leaves that are encoded in parallel tasks and then joined this way, once for equal texts.
 
 Defined cases: null text has null tokens and n_tokens 0; empty text has no tokens; repeated rows and rows without an id are kept
-and encoded alike; other columns are not read; an empty table gives an empty result.  In decoding, null gives null, as does a
-sequence with a number outside the vocabulary; bytes that are no UTF-8 become U+FFFD.
+and encoded alike; other columns are kept only if named, whatever their names; an empty table gives an empty result.  In decoding, null gives
+null, as does a sequence with a number outside the vocabulary; bytes that are no UTF-8 become U+FFFD.
+
+The driver reads the vocabulary (about a megabyte) and broadcasts it, so executors need no such file.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +41,8 @@ _READY: dict = {}
 
 
 class Codec:
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, vocabulary: bytes):
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.piece = self.encoding._encode_single_piece
         self.pattern = regex.compile(PATTERN)
@@ -119,10 +121,17 @@ class Codec:
         return spread(self.flat, self.starts, self.sizes, ids), np.cumsum(n)
 
 
-def codec(path: str) -> Codec:
-    if path not in _READY:
-        _READY[path] = Codec(path)
-    return _READY[path]
+def read_vocabulary(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def codec(vocabulary: bytes) -> Codec:
+    key = xxhash.xxh3_128_digest(vocabulary)
+    if key not in _READY:
+        _READY.clear()
+        _READY[key] = Codec(vocabulary)
+    return _READY[key]
 
 
 def spread(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -161,9 +170,9 @@ def _lists(ids: np.ndarray, bounds: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(null))
 
 
-def _encode(path: str, at: int):
+def _encode(shared, at: int):
     def run(batches):
-        c = codec(path)
+        c = codec(shared.value)
         for batch in slices(batches, at, BATCH):
             text = batch.column(at)
             data, off = raw(text)
@@ -173,11 +182,15 @@ def _encode(path: str, at: int):
                 parts = [c.stretch(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
                 ids, bounds = np.array([t for p in parts for t in p], np.int32), np.cumsum([0, *map(len, parts)])
                 back, ends = c.decode_all(ids)
-            same = np.array_equal(back, data) and np.array_equal(np.concatenate([[0], ends])[bounds], off)
+            place = np.concatenate([[0], ends])[bounds]
+            if back.size == data.size and np.array_equal(back, data):
+                same = (place[1:] == off[1:]) & (place[:-1] == off[:-1])
+            else:
+                same = np.array([np.array_equal(back[a:b], data[x:y]) for a, b, x, y in zip(place[:-1], place[1:], off[:-1], off[1:], strict=True)], bool)
             null = np.asarray(text.is_null())
             rest = [col for i, col in enumerate(batch.columns) if i != at]
             names = [n for i, n in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(bounds)), _lists(ids, bounds, null), pa.array(np.full(batch.num_rows, same))], names=[*names, "n_tokens", "tokens", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(bounds)), _lists(ids, bounds, null), pa.array(same)], names=[*names, "n_tokens", "tokens", "round_trip"])
 
     return run
 
@@ -209,9 +222,9 @@ def _cut_long(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.binary()), pa.array(range(i, i + len(part)), pa.int64()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], schema=_LEAF)
 
 
-def _encode_leaves(path: str):
+def _encode_leaves(shared):
     def run(batches):
-        c = codec(path)
+        c = codec(shared.value)
         for batch in batches:
             out = [c.stretch(d) if p < 0 else c.piece(d) for p, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([np.array(x, np.int32).tobytes() for x in out], pa.binary())], names=["k", "seq", "piece", "ids"])
@@ -219,9 +232,9 @@ def _encode_leaves(path: str):
     return run
 
 
-def _join_leaves(path: str):
+def _join_leaves(shared):
     def run(table: pa.Table) -> pa.Table:
-        c = codec(path)
+        c = codec(shared.value)
         table = table.sort_by("seq")
         out, run_of, last = [], [], -1
         for p, ids in zip(table["piece"].to_pylist(), table["ids"].to_pylist(), strict=True):
@@ -237,11 +250,11 @@ def _join_leaves(path: str):
     return run
 
 
-def _check_long(path: str, at: int):
+def _check_long(shared, at: int):
     """Rows with text in column at and its tokens in the last column: what _encode gives."""
 
     def run(batches):
-        c = codec(path)
+        c = codec(shared.value)
         for batch in slices(batches, at, BATCH):
             tokens = batch.column(batch.num_columns - 1)
             off, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
@@ -256,21 +269,23 @@ def _check_long(path: str, at: int):
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", vocabulary: str = VOCABULARY, long: int = LONG) -> DataFrame:
     """The columns `keep`, n_tokens, tokens, and whether decoding them gave the text again."""
     small_batches(docs.sparkSession)
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text"))
-    at, fields = len(keep), ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{fields}{', ' if fields else ''}n_tokens bigint, tokens array<int>, round_trip boolean"
-    short = own.where(F.coalesce(F.octet_length("__text"), F.lit(0)) <= long).mapInArrow(_encode(vocabulary, at), schema)
-    big = own.where(F.octet_length("__text") > long).withColumn("__k", F.unhex(F.sha2("__text", 256)))
-    parts = big.select("__k", "__text").mapInArrow(_cut_long, "k binary, seq bigint, piece bigint, data binary").dropDuplicates(["k", "seq"])
-    ids = parts.repartition("k", "seq").mapInArrow(_encode_leaves(vocabulary), "k binary, seq bigint, piece bigint, ids binary")
-    whole = ids.groupBy("k").applyInArrow(_join_leaves(vocabulary), "k binary, tokens array<int>")
-    joined = big.join(whole.withColumnsRenamed({"k": "__k", "tokens": "__tokens"}), "__k").select(*[F.col(f"`{c}`") for c in keep], "__text", "__tokens")
-    return short.unionByName(joined.mapInArrow(_check_long(vocabulary, at), schema))
-
-
-def _decode(path: str):
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    at = len(keep)
+    names = [f"c{i}" for i in range(at)]
+    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string")).toDF(*names, "text")
+    schema = "".join(f"{c} {own.schema[c].dataType.simpleString()}, " for c in names) + "n_tokens bigint, tokens array<int>, round_trip boolean"
+    short = own.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= long).mapInArrow(_encode(shared, at), schema)
+    big = own.where(F.octet_length("text") > long).withColumn("key", F.unhex(F.sha2("text", 256)))
+    parts = big.select("key", "text").mapInArrow(_cut_long, "k binary, seq bigint, piece bigint, data binary").dropDuplicates(["k", "seq"])
+    ids = parts.repartition("k", "seq").mapInArrow(_encode_leaves(shared), "k binary, seq bigint, piece bigint, ids binary")
+    whole = ids.groupBy("k").applyInArrow(_join_leaves(shared), "k binary, tokens array<int>")
+    joined = big.join(whole, F.col("key") == F.col("k")).select(*names, "text", "tokens")
+    return short.unionByName(joined.mapInArrow(_check_long(shared, at), schema)).toDF(*keep, "n_tokens", "tokens", "round_trip")
+
+
+def _decode(shared):
     def run(batches):
-        c = codec(path)
+        c = codec(shared.value)
         for batch in batches:
             tokens = batch.column(batch.num_columns - 1)
             out = []
@@ -285,9 +300,11 @@ def _decode(path: str):
 
 def decode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), tokens_col: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns `keep` and the text of the tokens."""
-    own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(tokens_col).cast("array<int>").alias("__tokens"))
-    fields = "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in keep)
-    return own.mapInArrow(_decode(vocabulary), f"{fields}text string")
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    names = [f"c{i}" for i in range(len(keep))]
+    own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{tokens_col}`").cast("array<int>")).toDF(*names, "tokens")
+    fields = "".join(f"{c} {own.schema[c].dataType.simpleString()}, " for c in names)
+    return own.mapInArrow(_decode(shared), f"{fields}text string").toDF(*keep, "text")
 
 
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ blocks only to bound memory, and never in the middle of a word.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ BLOCK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local default is set only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.  Only where that is unset, and the master is local, one of this machine is set."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder there that all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="recordloom-"))
@@ -32,21 +35,104 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded by bytes, unless the session says otherwise: 10,000 long texts in one would fill a worker."""
+    """Arrow batches are bounded by bytes, unless the session says so itself: 10,000 long texts in one would fill a worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark.conf.isModifiable(name) or spark.sparkContext.getConf().get(name):
         return
-    spark.conf.set(name, str(4 << 20))
+    unset = spark._jsparkSession.sessionState().conf().settings().get(name) is None
+    if unset:
+        spark.conf.set(name, str(4 << 20))
+
+
+_made: list[str] = []
 
 
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/recordloom/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     small_batches(df.sparkSession)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables `written` has made so far."""
+    return len(_made)
+
+
+def remove(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables that `written` made from number `since` on, but for the last `keep`: nothing may read them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    upto = len(_made) - keep
+    for path in _made[since:upto]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _made[since:upto]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with the columns c0, c1, ...: names of any kind, dotted ones too, then clash with none of an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+SMALL, FILTER_BITS = 8 << 20, 1 << 28
+
+
+def _bits(ids: pa.Array, bits: int) -> np.ndarray:
+    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) & U64(bits - 1)).astype(np.int64)
+
+
+def _mark(bits: int):
+    def run(batches):
+        found = np.zeros(0, np.int64)
+        for batch in batches:
+            found = np.union1d(found, _bits(batch.column(0), bits))
+        if not found.size:
+            return
+        at = np.flatnonzero(np.diff(found >> 16, prepend=-1))
+        for lo, hi in zip(at, [*at[1:], found.size], strict=True):
+            own = np.zeros(1 << 16, bool)
+            own[found[lo:hi] & 0xFFFF] = True
+            yield pa.RecordBatch.from_arrays([pa.array([int(found[lo] >> 16)]), pa.array([zlib.compress(np.packbits(own).tobytes(), 1)], pa.binary())], names=["slot", "bits"])
+
+    return run
+
+
+def _union(pdf):
+    own = np.zeros(1 << 13, np.uint8)
+    for b in pdf["bits"]:
+        own |= np.frombuffer(zlib.decompress(b), np.uint8)
+    return pdf[:1].assign(bits=[zlib.compress(own.tobytes(), 1)])
+
+
+def _split(shared, bits: int, at: int, want: bool):
+    def run(batches):
+        table = np.zeros(bits >> 3, np.uint8)
+        for slot, packed in shared.value.items():
+            table[slot << 13 : (slot + 1) << 13] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        for batch in batches:
+            ids = batch.column(at)
+            b = _bits(pc.fill_null(ids, 0), bits)
+            hit = ((table[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool) & ~np.asarray(ids.is_null())
+            if (hit == want).any():
+                yield batch.filter(pa.array(hit == want))
+
+    return run
+
+
+def parted(df: DataFrame, at: int, ids: DataFrame, n: int, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows of df (bigint ids in column `at`) that surely aren't among the n ids, and those that may be, by a bit filter of 32 MB at most.
+
+    So that only the second need a shuffle; the first go on where they are read."""
+    spark = df.sparkSession
+    small_batches(spark)
+    bits = min(bits, 1 << max(16, (8 * n).bit_length()))
+    slots = ids.mapInArrow(_mark(bits), "slot bigint, bits binary").groupBy("slot").applyInPandas(_union, "slot bigint, bits binary")
+    shared = spark.sparkContext.broadcast({r.slot: bytes(r.bits) for r in slots.collect()})  # at most bits / 65536 rows
+    return df.mapInArrow(_split(shared, bits, at, False), df.schema), df.mapInArrow(_split(shared, bits, at, True), df.schema)
+
+
 def bounded_sample(rows: DataFrame, total: int, sample: int, key: Column) -> DataFrame:
     """At most `sample` of about `total` rows: those with the smallest hash of the key.
 

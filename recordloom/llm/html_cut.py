@@ -10,8 +10,9 @@ other side, so it takes its label and gives its edges to its neighbours' termina
 it settles something; what is left of each page goes through Dinic's algorithm.  Capacities are whole numbers.
 
 The classifier is fitted in numpy to at most `sample` pages, those with the smallest hash of their id, whose blocks within article, main and
-paragraph are content and those within navigation, header, footer, aside, form and advertising boilerplate; it sees none of these names but
-"p", only the block's own text, links, tag kind and place.
+paragraph are content and those within navigation, header, footer, aside, form and advertising boilerplate.  It sees no tag and no depth,
+only text and links of the block and its neighbours, so that it serves pages without such tags too.  Its odds are bounded by MAX_ODDS, below
+what edges to agreeing neighbours amount to; n_moved counts the blocks whose label isn't the one that the classifier alone would give.
 
 Defined cases: null or empty html has no blocks and an empty text; unclosed and stray tags are tolerated; comments, scripts, styles, the
 head, and noscript and template are no text; a head also ends before the first tag or text that can't stand in one, and a noscript or template
@@ -32,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices
+from .common import bounded_sample, slices, small_batches
 
-SAMPLE, SCALE, MAX_ODDS, NEXT, SIBLING = 1500, 1000, 6.0, 0.8, 0.6
+SAMPLE, SCALE, MAX_ODDS, NEXT, SIBLING, COUNT = 1500, 1000, 4.0, 1.5, 2.0, 11
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<![^<>]*>|[^<]+|<", re.S | re.I)
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|head|body)\b[^<>]*>", re.S | re.I)
 _HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
@@ -141,12 +142,12 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def features(page: list[Block]) -> np.ndarray:
-    n, out = len(page), np.zeros((len(page), 11))
-    for i, b in enumerate(page):
+    """Of each block, and the length and share of links of the ones before and after it."""
+    own = np.zeros((len(page) + 2, 7))
+    for i, b in enumerate(page, 1):
         words, chars = b.text.count(" ") + 1, len(b.text)
-        out[i] = (1, np.log1p(words), np.log1p(chars), b.linked / chars, len(_MARKS.findall(b.text)) / words, b.text[-1] in ".!?", chars / words / 10, min(len(b.path), 10) / 10, b.tag == "p", b.tag[:1] == "h" and b.tag != "html", b.tag in ("li", "td", "th", "dt", "dd"))
-    out[:, 7] *= 1 if n else 0
-    return out
+        own[i] = (1, np.log1p(words), np.log1p(chars), b.linked / chars, min(1.0, len(_MARKS.findall(b.text)) / words), b.text[-1] in ".!?", min(chars / words, 40) / 10)
+    return np.concatenate([own[1:-1], own[:-2, [1, 3]], own[2:, [1, 3]]], axis=1)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -259,8 +260,8 @@ def label(odds: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, bounds:
     return side > 0
 
 
-def content(pages: list[list[Block]], weights: np.ndarray) -> list[list[bool]]:
-    """For each block of each page, whether it is content."""
+def content(pages: list[list[Block]], weights: np.ndarray) -> list[list[tuple[bool, bool]]]:
+    """For each block of each page, whether it is content, and whether the classifier alone says otherwise."""
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in pages])]).astype(np.int64)
     if not bounds[-1]:
         return [[] for _ in pages]
@@ -269,7 +270,8 @@ def content(pages: list[list[Block]], weights: np.ndarray) -> list[list[bool]]:
     links = [(a + o, b + o, c) for p, o in zip(pages, bounds[:-1].tolist(), strict=True) for a, b, c in edges(p)]
     e = np.array(sorted(links), np.int64).reshape(-1, 3)
     got = label(odds, e[:, 0], e[:, 1], e[:, 2], bounds)
-    return [got[lo:hi].tolist() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    both = list(zip(got.tolist(), (got != (odds > 0)).tolist(), strict=True))
+    return [both[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _collect(batches):
@@ -287,7 +289,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """The classifier's weights, fitted to at most `sample` pages (page_id, html)."""
     own = pages.select(F.col("html").cast("string").alias("html"), F.xxhash64("page_id", "html").alias("h")).where("html is not null")
     table = bounded_sample(own, pages.count(), sample, F.col("h")).select("html").mapInArrow(_collect, "x binary, y binary").toArrow()
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), float).reshape(-1, 11)
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), float).reshape(-1, COUNT)
     return fit(x, np.frombuffer(b"".join(table["y"].to_pylist()), np.int8).astype(float))
 
 
@@ -296,16 +298,17 @@ def _extract(weights: np.ndarray):
         for batch in slices(batches, 1, 2_000_000):
             pages = [blocks(p) for p in batch.column(1).to_pylist()]
             marks = content(pages, weights)
-            text = ["\n".join(b.text for b, k in zip(p, m, strict=True) if k) for p, m in zip(pages, marks, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array([len(p) for p in pages], pa.int32()), pa.array([sum(m) for m in marks], pa.int32())], names=["page_id", "text", "n_blocks", "n_content"])
+            text = ["\n".join(b.text for b, (k, _) in zip(p, m, strict=True) if k) for p, m in zip(pages, marks, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array([len(p) for p in pages], pa.int32()), pa.array([sum(k for k, _ in m) for m in marks], pa.int32()), pa.array([sum(c for _, c in m) for m in marks], pa.int32())], names=["page_id", "text", "n_blocks", "n_content", "n_moved"])
 
     return run
 
 
 def extract(pages: DataFrame, weights: np.ndarray) -> DataFrame:
-    """page_id, text (content blocks, one a line), n_blocks, n_content."""
+    """page_id, text (content blocks, one a line), n_blocks, n_content, n_moved (blocks that the cut took from the classifier's side to the other)."""
+    small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html"))
-    return own.mapInArrow(_extract(weights), "page_id bigint, text string, n_blocks int, n_content int")
+    return own.mapInArrow(_extract(weights), "page_id bigint, text string, n_blocks int, n_content int, n_moved int")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, raw, slices
+from .common import bounded_sample, raw, slices, small_batches
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
 SAMPLE, PER_TEXT, EPOCHS, BATCH, RATE, SEED = 3000, 6, 5, 128, 0.01, 11
@@ -170,6 +170,7 @@ def _label(shared):
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, language, probability, n_windows of each row."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(model)), "doc_id bigint, language string, probability double, n_windows bigint")
 

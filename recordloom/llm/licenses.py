@@ -2,8 +2,8 @@
 
 A notice of n bytes may have k = max(1, n // 12) edits.  It is split into k + 1 seeds; by the pigeonhole principle one of them stands
 unchanged in any text within k edits.  Seeds are searched exactly over all texts; each hit gives a window of the notice's length and k
-bytes more at both ends, overlapping windows merge, and in each the regex library's bounded-error matching finds the match of
-least edits, then those before and after it.  Only windows are matched, yet no occurrence is missed.
+bytes more at both ends, and in each the regex library's bounded-error matching finds the match of least edits.  Only windows are
+matched, yet no occurrence is missed: each has a seed and so a window.  Of matches that overlap one stays.
 
 A line that only reserves rights or names a copyright counts as a notice too, under "all rights reserved" and "copyright".
 
@@ -15,13 +15,15 @@ gives an empty result; other columns are not read.  Of equally good matches the
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import raw, slices, small_batches
 
 NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"],
@@ -53,67 +55,56 @@ class Notice:
         self.seeds = [(self.text[a:b], a) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         self.pattern = regex.compile(b"(?b)(?:" + regex.escape(self.text, special_only=True) + b"){e<=%d}" % self.k)
 
-    def matches(self, data: bytes, lo: int, hi: int, out: list) -> None:
-        """(start, end, edits) of the best match in data[lo:hi] and of those before and after it."""
-        while hi - lo >= len(self.text) - self.k:
-            at = data.find(self.text, lo, hi)
-            if at >= 0:
-                s, e, n = at, at + len(self.text), 0
-            else:
-                m = self.pattern.search(data, lo, hi)
-                if not m:
-                    return
-                s, e, n = m.start(), m.end(), sum(m.fuzzy_counts)
-            self.matches(data, lo, s, out)
-            out.append((s, e, n))
-            lo = e
+    def best_in(self, data: bytes, lo: int, hi: int) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the match of least edits in data[lo:hi], which is no longer than two notices."""
+        at = data.find(self.text, lo, hi)
+        if at >= 0:
+            return at, at + len(self.text), 0
+        m = self.pattern.search(data, lo, hi)
+        return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
 
 
 ALL = [Notice(name, text) for name, texts in NOTICES.items() for text in texts]
 
 
 def scan(data: bytes, off: np.ndarray, notices: list[Notice] | None = None) -> list[tuple[int, str, int, int, int]]:
-    """(row, licence, start, end, edits) with byte offsets in data; data holds the texts one after another, folded, each with a 0 after it."""
+    """(row, licence, start, end, edits) with byte offsets in data; data holds the texts one after another, folded, each with a 0 after it.
+
+    Each seed's window is matched apart, so that a run of notices costs as many matches as it has seeds."""
     found = []
     for notice in ALL if notices is None else notices:
-        spans = []
+        n, k = len(notice.text), notice.k
+        spans = set()
         for seed, at in notice.seeds:
             i = data.find(seed)
             while i >= 0:
-                spans.append((i - at - notice.k, i - at + len(notice.text) + notice.k))
+                spans.add((i - at - k, i - at + n + k))
                 i = data.find(seed, i + 1)
         if not spans:
             continue
-        spans.sort()
-        mid = np.array([(a + b) // 2 for a, b in spans])
-        row = np.searchsorted(off, np.clip(mid, 0, off[-1] - 1), "right") - 1
-        merged: list[list[int]] = []
-        for (a, b), r in zip(spans, row.tolist(), strict=True):
+        windows = sorted(spans)
+        row = np.searchsorted(off, np.clip([(a + b) // 2 for a, b in windows], 0, off[-1] - 1), "right") - 1
+        seen: set[tuple[int, int, int]] = set()
+        for (a, b), r in zip(windows, row.tolist(), strict=True):
             for q in (r - 1, r, r + 1):  # a window may reach over the end of its text
                 if 0 <= q < off.size - 1:
                     x, y = max(a, int(off[q])), min(b, int(off[q + 1]) - 1)
-                    if y - x >= len(notice.text) - notice.k:
-                        merged.append([x, y, q])
-        merged.sort()
-        whole: list[list[int]] = []
-        for x, y, q in merged:
-            if whole and whole[-1][2] == q and x <= whole[-1][1]:
-                whole[-1][1] = max(y, whole[-1][1])
-            else:
-                whole.append([x, y, q])
-        for x, y, q in whole:
-            hits: list[tuple[int, int, int]] = []
-            notice.matches(data, x, y, hits)
-            found += [(q, notice.name, s, e, n) for s, e, n in hits]
+                    if y - x >= n - k and (hit := notice.best_in(data, x, y)):
+                        seen.add((q, *hit))
+        found += [(q, notice.name, s, e, m) for q, s, e, m in sorted(seen)]
     return found
 
 
 def best(found: list[tuple[int, str, int, int, int]]) -> list[tuple[int, str, int, int, int]]:
     """Where matches of a text overlap, the one with the fewest edits for its length, then the longest, then the first stays."""
-    kept: list = []
+    kept: list[tuple[int, str, int, int, int]] = []
+    places: list[tuple[int, int, int]] = []  # (row, start, end) of those kept, in order; they never overlap
     for f in sorted(found, key=lambda f: (f[0], f[4] / (f[3] - f[2]), f[2] - f[3], f[2], f[1])):
-        if not any(k[0] == f[0] and k[2] < f[3] and f[2] < k[3] for k in reversed(kept) if k[0] == f[0]):
-            kept.append(f)
+        i = bisect.bisect_left(places, (f[0], f[3], -1))  # the first that starts at or after its end
+        if i and places[i - 1][0] == f[0] and places[i - 1][2] > f[2]:
+            continue
+        places.insert(i, (f[0], f[2], f[3]))
+        kept.append(f)
     return sorted(kept, key=lambda f: (f[0], f[2]))
 
 
@@ -142,6 +133,7 @@ def _scan(batches):
 
 def notices(docs: DataFrame) -> DataFrame:
     """doc_id, license, start, end, edits, matched (the text of the span) of each notice found."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_scan, "doc_id bigint, license string, start bigint, end bigint, edits int, matched string")
 

@@ -6,12 +6,16 @@ their own lines, slot by slot, and send them compressed, so what is sent follows
 shuffled: grouped by their 128-bit hash, the first occurrence by (doc_id, line number) stays and later ones go.  A false
 suspicion therefore costs a shuffled row and never a line.
 
-The filter that is broadcast has at most MAX_BITS bits.  Where the lines need more, hashes are divided into rounds and
-each has its own filters, over a table written by round, so nothing grows beyond that size and no line is left out.
+The filter that is broadcast has at most MAX_BITS bits.  Where the lines need more, none is: hashes are divided into ranges, each task
+holds the two filters of its range, and a line that is repeated within a batch is suspected there and then, so that of the commonest
+line each batch sends one row to its range.  All ranges are one job, and no line is left out.
+
+Texts aren't shuffled to lose their lines while the numbers of lost lines are few enough to broadcast (their size is counted, SMALL at
+most).  Beyond that a bit filter of the documents that lose a line divides the table, and only these documents' rows move.
 
 A line counts without the spaces, tabs and carriage returns around it; blank lines are never dropped.  Defined cases: null
 text stays null; rows without an id stay as they are and count for nothing; rows that repeat an id are treated alike, as one
-document; an empty table gives an empty result; other columns are kept whatever their names.
+document; an empty table gives an empty result; other columns are kept whatever their names, dotted ones too.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_out, raw, slices, small_batches, written
+from .common import SMALL, U64, arrow_out, numbered, parted, raw, slices, small_batches, written
 
 SLOT_BITS, PROBES, BITS_PER_LINE = 1 << 20, 4, 8
-MAX_BITS = 1 << 29
+MAX_BITS, RANGE_BITS = 1 << 29, 1 << 24
 AROUND = b" \t\r"
 _LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
 
@@ -109,23 +113,52 @@ def _suspect(shared, slots: int):
     return run
 
 
+def _local(batches):
+    """Lines with n: 0 for a line that is repeated within the batch, which is suspected for sure; besides, one row for each hash, with n = 1 or 2 for its occurrences."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, g = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        order = np.lexsort((g, h))
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
+        count = np.diff(np.append(np.flatnonzero(new), h.size))
+        one, many = order[new], order[np.repeat(count > 1, count)]
+        rows = np.concatenate([one, many])
+        n = np.concatenate([np.minimum(count, 2), np.zeros(many.size, np.int64)]).astype(np.int32)
+        part = batch.take(pa.array(rows))
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n)], names=["doc_id", "line", "h", "g", "n"])
+
+
+def _range(batches):
+    """Both filters over the lines of one range; the lines that occurred once in their batch and are in the second filter."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches).combine_chunks()
+    n = table["n"].to_numpy()
+    slot, bits = probes(table["h"].to_numpy(), max(1, math.ceil(n.size * BITS_PER_LINE / SLOT_BITS)))
+    order = np.argsort(slot, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], slot[order][1:] != slot[order][:-1]]))
+    for lo, hi in zip(at, [*at[1:], n.size], strict=True):
+        own = order[lo:hi]
+        seen = np.bincount(bits[own].ravel(), weights=np.repeat(n[own], PROBES), minlength=SLOT_BITS)
+        hit = own[(seen[bits[own]] > 1).all(axis=1) & (n[own] == 1)]
+        if hit.size:
+            yield from table.select(["doc_id", "line", "h", "g"]).take(pa.array(hit)).to_batches()
+
+
 def suspects(lines: DataFrame, total: int, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of lines whose hash the second filter holds: every repeated one, and few others."""
     spark = lines.sparkSession
-    rounds = max(1, math.ceil(total * BITS_PER_LINE / max_bits))
-    slots = max(1, math.ceil(total * BITS_PER_LINE / rounds / SLOT_BITS))
-    if rounds > 1:
-        lines = written(lines.withColumn("round", F.pmod("g", F.lit(rounds))).repartitionByRange("round"), "rounds")
-    found = None
-    for r in range(rounds):
-        own = lines.where(F.col("round") == r).drop("round") if rounds > 1 else lines
-        merged = own.select("h").mapInArrow(_build(slots), "slot bigint, once binary, twice binary").groupBy("slot").applyInPandas(_merge, "slot bigint, twice binary")
-        shared = spark.sparkContext.broadcast({x.slot: bytes(x.twice) for x in merged.collect()})
-        hit = own.mapInArrow(_suspect(shared, slots), own.schema)
-        if rounds > 1:
-            hit = written(hit, "suspects")
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    if total * BITS_PER_LINE > max_bits:
+        local = written(lines.mapInArrow(_local, "doc_id bigint, line int, h bigint, g bigint, n int"), "local")
+        ranges = max(1, math.ceil(total * BITS_PER_LINE / min(max_bits, RANGE_BITS)))
+        own = local.where("n > 0").repartition(ranges, "g").mapInArrow(_range, lines.schema)
+        return local.where("n = 0").drop("n").unionByName(own)
+    slots = max(1, math.ceil(total * BITS_PER_LINE / SLOT_BITS))
+    merged = lines.select("h").mapInArrow(_build(slots), "slot bigint, once binary, twice binary").groupBy("slot").applyInPandas(_merge, "slot bigint, twice binary")
+    shared = spark.sparkContext.broadcast({x.slot: bytes(x.twice) for x in merged.collect()})  # max_bits at most
+    return lines.mapInArrow(_suspect(shared, slots), lines.schema)
 
 
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -161,22 +194,37 @@ def _apply(text_at: int, drop_at: int, names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped", max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with later occurrences of lines removed from the text, and the number of its lines and of those removed."""
-    drop = later_lines(docs, id_col, text_col, max_bits).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    joined = docs.join(drop.hint("shuffle_hash"), docs[id_col] == F.col("__id"), "left").drop("__id")
-    schema = docs.withColumns({lines_col: F.lit(0).cast("bigint"), dropped_col: F.lit(0).cast("bigint")}).schema
-    return joined.mapInArrow(_apply(docs.columns.index(text_col), len(docs.columns), schema.names), schema)
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped", max_bits: int = MAX_BITS, small: int = SMALL) -> DataFrame:
+    """docs with later occurrences of lines removed from the text, and the number of its lines and of those removed.
+
+    Two columns of one name result where docs has one named like a count; lines_col and dropped_col name them otherwise."""
+    names = docs.columns
+    i, t = names.index(id_col), names.index(text_col)
+    own = numbered(docs)
+    own = own.withColumns({f"c{t}": F.col(f"c{t}").cast("string"), "id": F.col(f"c{i}").cast("bigint")})
+    drop = written(later_lines(own, f"c{i}", f"c{t}", max_bits), "drops").select(F.col("doc_id").alias("drop_id"), "drop")
+    n, size = drop.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("drop") * 4 + 16), F.lit(0))).first()
+    if size <= small:
+        joined = own.join(F.broadcast(drop), F.col("id") == F.col("drop_id"), "left")
+    else:
+        rest, hit = parted(own, len(names), drop.select("drop_id"), n)
+        moved = hit.join(drop.hint("shuffle_hash"), F.col("id") == F.col("drop_id"), "left")
+        joined = rest.withColumns({"drop_id": F.lit(None).cast("bigint"), "drop": F.lit(None).cast("array<int>")}).unionByName(moved)
+    joined = joined.drop("id", "drop_id")
+    schema = own.drop("id").withColumns({"lines": F.lit(0).cast("bigint"), "lost": F.lit(0).cast("bigint")}).schema
+    return joined.mapInArrow(_apply(t, len(names), schema.names), schema).toDF(*names, lines_col, dropped_col)
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """The columns of docs, each line only at its first occurrence; documents left with no line of theirs go, n_chars follows."""
-    out = dedup_lines(docs, lines_col="__lines", dropped_col="__dropped")
-    text = F.translate(F.col("text"), "\n\t\r ", "")
-    out = out.where((F.col("__dropped") == 0) | (text != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    out = dedup_lines(docs).toDF(*[f"c{i}" for i in range(len(names))], "lines", "lost")
+    text = F.col(f"c{names.index('text')}")
+    out = out.where((F.col("lost") == 0) | (F.translate(text, "\n\t\r ", "") != ""))
+    if "n_chars" in names:
+        c = f"c{names.index('n_chars')}"
+        out = out.withColumn(c, F.when(F.col("lost") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(c)))
+    return out.drop("lines", "lost").toDF(*names)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,10 @@ The test tables have no containers, so `pack` makes one from each document: ever
 tenth line are key frames; what is read from it is held against the lines.
 
 Defined cases: null content has null columns; content without a moov box has the error "no moov"; a box or table that reaches over
-the end of its parent ends the walk and gives the error "truncated", with what was read until then; tracks are in the order of the file; without
-stss every sample is a key frame; repeated rows and rows without an id are treated like others; an empty table gives an empty result; other
-columns are kept only if named.
+the end of its parent ends the walk and gives the error "truncated", with what was read until then; boxes nested deeper than DEPTH give the
+error "too deep"; a table that names more samples than the file has bytes gives the error "impossible count"; a duration of all ones is unknown and
+null; tracks are in the order of the file; without stss every sample is a key frame, and stss without entries means none; repeated rows and rows
+without an id are treated like others; an empty table gives an empty result; other columns are kept only if named, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 _NEST = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"moof", b"traf", b"mvex", b"edts", b"dinf", b"udta"}
 TRACK = "struct<track_id:bigint,handler:string,codec:string,timescale:bigint,duration:bigint,n_samples:bigint,bytes:bigint,keyframes:array<struct<start:bigint,size:bigint>>>"
 SCHEMA = f"brand string, duration_s double, tracks array<{TRACK}>, error string"
 
 
-class Truncated(Exception):
-    pass
+DEPTH = 64
+
+
+class Bad(Exception):
+    """Content that the walk can't go on with; its text is the error."""
+
+
+class Truncated(Bad):
+    def __init__(self):
+        super().__init__("truncated")
+
+
+def known(value: int, wide: bool) -> int | None:
+    """A duration, None where all its bits are set."""
+    return None if value == (0xFFFFFFFFFFFFFFFF if wide else 0xFFFFFFFF) or value >= 1 << 63 else value
 
 
 def boxes(data: memoryview, lo: int, hi: int):
@@ -68,7 +82,8 @@ def _u(data: memoryview, kind: str, at: int, end: int) -> tuple:
 
 class Track:
     def __init__(self):
-        self.id = self.scale = self.duration = 0
+        self.id = self.scale = 0
+        self.duration: int | None = None
         self.handler = self.codec = ""
         self.sizes = self.chunks = self.offsets = np.empty(0, np.int64)
         self.times = np.empty((0, 2), np.int64)
@@ -83,8 +98,10 @@ class Track:
         keys = keys[keys < starts.size]
         frames = [{"start": int(s), "size": int(z)} for s, z in zip(starts[keys], self.sizes[keys], strict=True)]
         frames += [{"start": s, "size": z} for s, z, k in self.more if k]
-        length = int((self.times[:, 0] * self.times[:, 1]).sum()) or self.duration
-        return {"track_id": self.id, "handler": self.handler, "codec": self.codec, "timescale": self.scale, "duration": length + self.extra, "n_samples": n + len(self.more), "bytes": int(self.sizes.sum()) + sum(z for _, z, _ in self.more), "keyframes": frames}
+        length = min(int((self.times[:, 0].astype(float) * self.times[:, 1]).sum()), (1 << 62)) or self.duration
+        if self.extra:
+            length = (length or 0) + self.extra
+        return {"track_id": self.id, "handler": self.handler, "codec": self.codec, "timescale": self.scale, "duration": length, "n_samples": n + len(self.more), "bytes": int(self.sizes.sum()) + sum(z for _, z, _ in self.more), "keyframes": frames}
 
     def places(self) -> np.ndarray:
         """Byte offset of each sample."""
@@ -92,8 +109,11 @@ class Track:
         if not m or not self.chunks.size:
             return np.empty(0, np.int64)
         first = self.chunks[:, 0] - 1
-        per = np.repeat(self.chunks[:, 1], np.diff(np.append(np.minimum(first, m), m)).clip(0))[:m]
+        per = np.repeat(np.minimum(self.chunks[:, 1], self.sizes.size), np.diff(np.append(np.minimum(first, m), m)).clip(0))[:m]
+        upto = np.cumsum(per)
+        per = per[: int(np.searchsorted(upto, self.sizes.size)) + 1]  # chunks beyond the last sample hold none
         n = min(int(per.sum()), self.sizes.size)
+        per = np.diff(np.minimum(np.concatenate([[0], np.cumsum(per)]), n))
         chunk = np.repeat(np.arange(per.size), per)[:n]
         upto = np.concatenate([[0], np.cumsum(self.sizes[:n])])
         begin = np.concatenate([[0], np.cumsum(per)])[:-1]
@@ -106,7 +126,8 @@ def _table(t: Track, data: memoryview, kind: bytes, a: int, b: int) -> None:
         t.id = _u(data, ">I", a + (20 if v else 12), b)[0]
     elif kind == b"mdhd":
         v = _u(data, ">B", a, b)[0]
-        t.scale, t.duration = _u(data, ">IQ", a + 20, b) if v else _u(data, ">II", a + 12, b)
+        t.scale, length = _u(data, ">IQ", a + 20, b) if v else _u(data, ">II", a + 12, b)
+        t.duration = known(length, bool(v))
     elif kind == b"hdlr":
         t.handler = _u(data, ">4s", a + 8, b)[0].decode("latin-1")
     elif kind == b"stsd":
@@ -117,6 +138,8 @@ def _table(t: Track, data: memoryview, kind: bytes, a: int, b: int) -> None:
         t.sync = _u32(data, a + 8, b, _u(data, ">I", a + 4, b)[0], 1)[:, 0] - 1
     elif kind == b"stsz":
         same, n = _u(data, ">II", a + 4, b)
+        if same and n > max(0, len(data)):  # samples of a byte or more; a file in which they are elsewhere is out of reach
+            raise Bad("impossible count")
         t.sizes = np.full(n, same, np.int64) if same else _u32(data, a + 12, b, n, 1)[:, 0]
     elif kind == b"stz2":
         bits, n = _u(data, ">BI", a + 7, b)
@@ -165,6 +188,8 @@ def _fragment(out: dict, data: memoryview, a: int, b: int, moof: int) -> None:
             if flags & 4:
                 first, p = _u(data, ">I", p, y)[0], p + 4
             per = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+            if not per and n > len(data):
+                raise Bad("impossible count")
             rows = _u32(data, p, y, n, len(per)) if per else np.empty((n, 0), np.int64)
             col = lambda bit, other: rows[:, per.index(bit)] if bit in per else np.full(n, other, np.int64)
             marks = col(0x400, flags_all)
@@ -177,13 +202,19 @@ def _fragment(out: dict, data: memoryview, a: int, b: int, moof: int) -> None:
                 at += z
 
 
-def _walk(out: dict, data: memoryview, lo: int, hi: int, moof: int = 0) -> None:
-    for kind, a, b in boxes(data, lo, hi):
-        if kind == b"ftyp" and not out["brand"]:
+def _walk(out: dict, data: memoryview) -> None:
+    stack = [(boxes(data, 0, len(data)), 0)]
+    while stack:
+        at, moof = stack[-1]
+        kind, a, b = next(at, (b"", 0, 0))
+        if not kind:
+            stack.pop()
+        elif kind == b"ftyp" and not out["brand"]:
             out["brand"] = _u(data, ">4s", a, b)[0].decode("latin-1")
         elif kind == b"mvhd":
             v = _u(data, ">B", a, b)[0]
-            out["scale"], out["duration"] = _u(data, ">IQ", a + 20, b) if v else _u(data, ">II", a + 12, b)
+            out["scale"], length = _u(data, ">IQ", a + 20, b) if v else _u(data, ">II", a + 12, b)
+            out["duration"] = known(length, bool(v))
         elif kind == b"trex":
             number, _, length, size, flags = _u(data, ">IIIII", a + 4, b)
             out["trex"][number] = (length, size, flags)
@@ -194,7 +225,9 @@ def _walk(out: dict, data: memoryview, lo: int, hi: int, moof: int = 0) -> None:
                 out["moov"] = True
             if kind == b"trak":
                 out["tracks"].append(Track())
-            _walk(out, data, a, b, a - 8 if kind == b"moof" else moof)
+            if len(stack) >= DEPTH:
+                raise Bad("too deep")
+            stack.append((boxes(data, a, b), a - 8 if kind == b"moof" else moof))
         elif out["tracks"]:
             _table(out["tracks"][-1], data, kind, a, b)
 
@@ -205,14 +238,14 @@ def read(content: bytes | None) -> dict:
     out: dict = {"brand": "", "scale": 0, "duration": 0, "tracks": [], "trex": {}, "moov": False}
     error = None
     try:
-        _walk(out, memoryview(content), 0, len(content))
-    except Truncated:
-        error = "truncated"
+        _walk(out, memoryview(content))
+    except Bad as e:
+        error = str(e)
     if not out["moov"]:
         error = error or "no moov"
     tracks = [t.row() for t in out["tracks"]]
-    known = [t["duration"] / t["timescale"] for t in tracks if t["timescale"]]
-    seconds = max(known) if known else out["duration"] / out["scale"] if out["scale"] else None
+    lengths = [t["duration"] / t["timescale"] for t in tracks if t["timescale"] and t["duration"] is not None]
+    seconds = max(lengths) if lengths else out["duration"] / out["scale"] if out["scale"] and out["duration"] is not None else None
     return {"brand": out["brand"] or None, "duration_s": seconds, "tracks": tracks, "error": error}
 
 
@@ -230,9 +263,10 @@ def _columns(batches):
 
 def media_columns(df: DataFrame, content_col: str = "content", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and brand, duration_s, tracks, error of the container in each row."""
-    own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(content_col).cast("binary").alias("__content"))
-    fields = "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in keep)
-    return own.mapInArrow(_columns, fields + SCHEMA)
+    small_batches(df.sparkSession)
+    own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{content_col}`").cast("binary")).toDF(*[f"c{i}" for i in range(len(keep))], "content")
+    fields = "".join(f"c{i} {own.schema[i].dataType.simpleString()}, " for i in range(len(keep)))
+    return own.mapInArrow(_columns, fields + SCHEMA).toDF(*keep, "brand", "duration_s", "tracks", "error")
 
 
 def box(kind: bytes, *body: bytes) -> bytes:

@@ -4,13 +4,16 @@ Each text becomes 256 minima over hashes of its three-word shingles.  Bands of f
 after that only the two low bits of every minimum are kept, packed into 64 bytes, and similarity is estimated from the
 number of equal fields, corrected for the fields that agree by chance: J = (share - 2**-b) / (1 - 2**-b).
 
-Equal minima collapse to one row before candidates are sought, so thousands of copies cost one row.  Within a bucket
+Equal minima collapse to one row before candidates are sought, so thousands of copies cost one row.  Band keys are counted with
+partial sums, so that no task gets all rows of a common key; only rows of keys with two members or more move on.  Within a bucket
 members are joined by breadth-first search that compares each reached member with those not reached yet: every pair of the
-bucket that could change the components is compared, and none is dropped, yet a bucket of n copies costs n comparisons.
+bucket that could change the components is compared, and none is dropped, yet a bucket of n copies costs n comparisons.  A key
+with more than HOT unlike members is divided into blocks of about HOT, and each pair of blocks is a bucket of its own: every pair of its
+members meets in one of them, and no task holds more than two blocks.
 
 Defined cases: a text that is null or has no word has no signature and is in no group; a text of one or two words has
 one shingle; rows without an id take no part; rows that repeat an id are copies of each other; the smallest id of a group
-represents it; an empty table gives an empty result; other columns are not read.
+represents it; an empty table gives an empty result; other columns are not read, and keep_one keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_out, mix, raw, segments, slices, small_batches, words, written
+from .common import SMALL, U64, arrow_out, mix, numbered, parted, raw, slices, small_batches, words, written
 
 K, BITS, ROWS, BANDS, SHINGLE = 256, 2, 5, 32, 3
-THRESHOLD, SLACK, SEED = 0.6, 0.04, 7
+THRESHOLD, SLACK, SEED, HOT = 0.6, 0.04, 7, 4096
 WORDS64 = K * BITS // 64
 _SIG = pa.schema([("doc_id", pa.int64()), ("sk", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -116,44 +119,28 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.mapInArrow(_sign, "doc_id bigint, sk bigint, sig binary, bands array<bigint>")
 
 
-def _runs(batches, names):
-    """Batches cut where the first column's value changes, as lists of numpy columns: equal values stay together."""
-    held = None
+def _runs(batches):
+    """Batches cut where the first column's value changes: equal values stay together."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        k = table.column(0).to_numpy()
-        cut = int(np.searchsorted(k, k[-1], "left")) if k[0] != k[-1] else 0
-        if cut:
-            yield table.slice(0, cut).combine_chunks()
-        held = table.slice(cut)
-    if held is not None and held.num_rows:
-        yield held.combine_chunks()
-
-
-def _buckets(batches):
-    """Sorted (key, sk) in, (bucket, sk) out for keys with two members or more; bucket is a hash of the member set."""
-    schema = pa.schema([("bucket", pa.int64()), ("sk", pa.int64())])
-    for t in _runs(batches, 2):
-        key, sk = t.column(0).to_numpy(), t.column(1).to_numpy()
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sk[1:] != sk[:-1])])
-        key, sk = key[new], sk[new]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.concatenate([at, [key.size]]))
-        code = np.add.reduceat(mix(sk.view(U64) ^ U64(0xA5A5)), at)
-        code = mix(code + n.astype(U64)).view(np.int64)
-        many = np.repeat(n > 1, n)
-        if many.any():
-            yield arrow_out(schema, np.repeat(code, n)[many], sk[many])
+        k = batch.column(0).to_numpy()
+        if held and k[0] == k[-1] == held[-1].column(0)[-1].as_py():
+            held.append(batch)
+            continue
+        cut = int(np.searchsorted(k, k[-1], "left"))
+        if held or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _connect(floor: float):
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64())])
-        for t in _runs(batches, 3):
+        for t in _runs(batches):
             bucket, rep = t.column(0).to_numpy(), t.column(1).to_numpy()
             sig = np.frombuffer(b"".join(t.column(2).to_pylist()), U64).reshape(-1, WORDS64)
             at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -205,14 +192,30 @@ def components(edges: DataFrame) -> DataFrame:
     return star.select(F.col("v").alias("node"), "root").unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
+def buckets(r: DataFrame, hot: int = HOT) -> DataFrame:
+    """bucket, sk: rows of r (sk, bands) whose pairs are to be compared, in sets of 2 * hot or so at most."""
+    keyed = r.select(F.explode("bands").alias("key"), "sk")
+    keys = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sk")).alias("code")).where("n > 1"), "keys")
+    n, n_hot = keys.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > hot, 1))).first()
+    shared = parted(keyed, 0, keys.select("key"), n)[1]
+    common = keys.where(F.col("n") > hot).select(F.col("key").alias("k"), F.ceil(F.col("n") / hot).cast("int").alias("m"))
+    if n_hot * 12 <= SMALL:
+        common = F.broadcast(common)
+    rare = shared.join(common, F.col("key") == F.col("k"), "left_anti") if n_hot else shared
+    cold = rare.join(keys.where(F.col("n") <= hot), "key").select(F.xxhash64("code", "n").alias("bucket"), "sk").distinct()
+    if not n_hot:
+        return cold
+    block, other = F.pmod(F.xxhash64("sk", "key"), F.col("m")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")
+    pairs = shared.join(common, F.col("key") == F.col("k")).select("key", "sk", block, "m").select("key", "sk", "block", other)
+    return cold.unionByName(pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "sk"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK, hot: int = HOT) -> DataFrame:
     """doc_id, group_id (smallest doc_id of the group), est_similarity (to the nearest partner that was compared), for each
     document with a duplicate.  Estimates from `threshold - slack` on count, as an estimate's deviation is about `slack`."""
     s = written(signatures(docs), "signatures")
     r = written(s.groupBy("sk").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "distinct")
-    keyed = r.select(F.explode("bands").alias("key"), "sk").repartition("key").sortWithinPartitions("key", "sk")
-    members = keyed.mapInArrow(_buckets, "bucket bigint, sk bigint").distinct()
-    full = members.join(r.select("sk", "rep", "sig"), "sk").select("bucket", "rep", "sig").repartition("bucket").sortWithinPartitions("bucket", "rep")
+    full = buckets(r, hot).join(r.select("sk", "rep", "sig"), "sk").select("bucket", "rep", "sig").repartition("bucket").sortWithinPartitions("bucket", "rep")
     edges = written(full.mapInArrow(_connect(threshold - slack), "a bigint, b bigint, est double"), "links")
     roots = components(edges)
     best = edges.select(F.explode(F.array("a", "b")).alias("node"), "est").groupBy("node").agg(F.max("est").alias("est"))
@@ -222,12 +225,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slack: float
     return s.select("doc_id", "sk").join(groups, F.col("sk") == F.col("gk")).select("doc_id", "group_id", "est_similarity")
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
+def _without(df: DataFrame, at: int, ids: DataFrame, n: int, small: int) -> DataFrame:
+    """Rows of df whose id in column `at` isn't among the n ids; only rows that may be among them are shuffled."""
+    key = F.col(df.columns[at])
+    if n * 16 <= small:
+        return df.join(F.broadcast(ids), key == F.col("gone"), "left_anti")
+    rest, hit = parted(df, at, ids, n)
+    return rest.unionByName(hit.join(ids, key == F.col("gone"), "left_anti"))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK, small: int = SMALL) -> DataFrame:
     """docs with one row of each group of near duplicates, the one with the smallest id; columns as they are."""
-    found = written(near_duplicates(docs, threshold, slack).select(F.col("doc_id").alias("__dup_id"), "group_id"), "groups").distinct()
-    alone = docs.join(found.select("__dup_id"), docs["doc_id"] == F.col("__dup_id"), "left_anti")
-    heads = docs.join(found.where("__dup_id = group_id").select("__dup_id"), docs["doc_id"] == F.col("__dup_id"), "left_semi")
-    return alone.unionByName(heads.dropDuplicates(["doc_id"]))
+    names = docs.columns
+    i, t = names.index("doc_id"), names.index("text")
+    own = numbered(docs).withColumn("id", F.col(f"c{i}").cast("bigint"))
+    found = near_duplicates(own.select(F.col("id").alias("doc_id"), F.col(f"c{t}").alias("text")), threshold, slack)
+    found = written(found.groupBy("doc_id", "group_id").agg(F.count(F.lit(1)).alias("rows")), "groups")
+    gone = found.where("doc_id <> group_id").select(F.col("doc_id").alias("gone"))
+    again = found.where("doc_id = group_id and rows > 1").select(F.col("doc_id").alias("again"))
+    n, m = found.agg(F.count(F.when(F.col("doc_id") != F.col("group_id"), 1)), F.count(F.when((F.col("doc_id") == F.col("group_id")) & (F.col("rows") > 1), 1))).first()
+    out = _without(own, len(names), gone, n, small)
+    if m:  # rows that repeat an id
+        one = out.join(again, F.col("id") == F.col("again"), "left_semi").dropDuplicates(["id"])
+        out = _without(out, len(names), again.withColumnRenamed("again", "gone"), m, small).unionByName(one)
+    return out.drop("id").toDF(*names)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

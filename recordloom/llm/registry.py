@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import bpe, host_rules, html_cut, langid, licenses, line_dedup, media, mixing, near_dup, toxicity
 
 QUERIES = {
@@ -17,8 +15,5 @@ QUERIES = {
     "op8_html_extraction": html_cut.op8_html_extraction,
     "op9_media_columns": media.op9_media_columns,
     "op10_line_dedup": line_dedup.op10_line_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {"op7_host_quality": host_rules.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

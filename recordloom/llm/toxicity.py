@@ -13,7 +13,8 @@ of marker words, which are the words that toxic rows of the fitting sample hold
 The fit takes at most `sample` labelled rows, those with the smallest hash of their id, on the driver; scoring covers every
 row and whole texts.  Defined cases: a text that is null or has no word has severity 0 and isn't toxic; rows without an id
 are scored like others; a label or id that is null, and labels of unknown documents, are not fitted; of several labels of
-one document the largest counts; without both kinds of label nothing is toxic; an empty table gives an empty result.
+one document the largest counts; without both kinds of label nothing is toxic; an empty table gives an empty result; other
+columns are not read, and `stage` keeps them whatever their names, dotted ones too.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, raw, segments, slices, small_batches, words
+from .common import U64, numbered, raw, segments, slices, small_batches, words
 
 BITS, GRADES, SAMPLE, CUT, DECAYS = 18, 3, 8000, 0.5, (1e-3, 3e-3, 1e-2)
 FOLDS, COST, FEW = 4, 10.0, 10
@@ -117,21 +118,12 @@ def grades(idx: np.ndarray, counts: np.ndarray, bounds: np.ndarray, toxic: np.nd
     return np.where(toxic, 1 + np.searchsorted(cuts, share, "right"), 0)
 
 
-def fit(idx: np.ndarray, counts: np.ndarray, bounds: np.ndarray, grade: np.ndarray, decay: float = DECAYS[0]) -> Model:
-    """Weights and thresholds by penalised maximum likelihood."""
-    if not grade.size or not (grade > 0).any() or not (grade == 0).any():
-        return Model(np.zeros(1 << BITS, np.float32), np.full(GRADES, 40.0))
-    df, scale = np.bincount(idx, minlength=1 << BITS), ratios(idx, bounds, grade > 0)
-    used = np.flatnonzero(df >= 2)
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(used.size)
-    row = np.repeat(np.arange(grade.size), np.diff(bounds))
-    ok = place[idx] >= 0
-    col, row, val = place[idx][ok], row[ok], (np.log1p(counts) * scale[idx])[ok]
+def loss(row: np.ndarray, col: np.ndarray, val: np.ndarray, size: int, grade: np.ndarray, decay: float):
+    """Penalised negative log likelihood, with its gradient, of parameters [t_1, log gaps, weights]; entries (row, col, val) of the features."""
     n, lo, hi = grade.size, np.maximum(grade, 1) - 1, np.minimum(grade, GRADES - 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def loss(p):
+    def value(p):
         w, gaps = p[GRADES:], np.exp(np.clip(p[1:GRADES], -8, 5))
         t = np.concatenate([[p[0]], p[0] + np.cumsum(gaps)])
         s = np.bincount(row, weights=w[col] * val, minlength=n)
@@ -144,11 +136,25 @@ def fit(idx: np.ndarray, counts: np.ndarray, bounds: np.ndarray, grade: np.ndarr
         g = np.empty_like(p)
         g[0] = dt.sum()
         g[1:GRADES] = [dt[k:].sum() * gaps[k - 1] for k in range(1, GRADES)]
-        g[GRADES:] = np.bincount(col, weights=val * ds[row], minlength=used.size) + decay * w
+        g[GRADES:] = np.bincount(col, weights=val * ds[row], minlength=size) + decay * w
         return -np.log(q).mean() + decay / 2 * w.dot(w), g
 
+    return value
+
+
+def fit(idx: np.ndarray, counts: np.ndarray, bounds: np.ndarray, grade: np.ndarray, decay: float = DECAYS[0]) -> Model:
+    """Weights and thresholds by penalised maximum likelihood."""
+    if not grade.size or not (grade > 0).any() or not (grade == 0).any():
+        return Model(np.zeros(1 << BITS, np.float32), np.full(GRADES, 40.0))
+    df, scale = np.bincount(idx, minlength=1 << BITS), ratios(idx, bounds, grade > 0)
+    used = np.flatnonzero(df >= 2)
+    place = np.full(1 << BITS, -1)
+    place[used] = np.arange(used.size)
+    row = np.repeat(np.arange(grade.size), np.diff(bounds))
+    ok = place[idx] >= 0
+    value = loss(row[ok], place[idx][ok], (np.log1p(counts) * scale[idx])[ok], used.size, grade, decay)
     base = np.log((grade == 0).sum() / (grade > 0).sum())
-    p = lbfgs(loss, np.concatenate([[base], np.zeros(GRADES - 1 + used.size)]))
+    p = lbfgs(value, np.concatenate([[base], np.zeros(GRADES - 1 + used.size)]))
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = p[GRADES:] * scale[used]
     return Model(weights, np.concatenate([[p[0]], p[0] + np.cumsum(np.exp(np.clip(p[1:GRADES], -8, 5)))]))
@@ -253,7 +259,9 @@ def stage(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't toxic, as they are."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_clean(shared, docs.columns.index("text")), docs.schema)
+    own, t = numbered(docs), docs.columns.index("text")
+    own = own.withColumn(f"c{t}", F.col(f"c{t}").cast("string"))
+    return own.mapInArrow(_clean(shared, t), own.schema).toDF(*docs.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from recordloom.llm import bpe
 
-C = bpe.codec(bpe.VOCABULARY)
+C = bpe.codec(bpe.read_vocabulary(bpe.VOCABULARY))
 
 
 def rand_piece(rng, n):

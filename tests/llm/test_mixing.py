@@ -38,7 +38,7 @@ def test_flow_like_brute_force():
 def simple(rows, spark, **kw):
     """The selection in plain Python."""
     df = spark.createDataFrame([(r[0], r[1], r[2], r[3]) for r in rows], "doc_id long, text string, lang string, source string")
-    keys = {r.doc_id: tuple(r["__key"]) for r in mx.keyed(df, None, mx.SEED).select("doc_id", "__key").collect()}
+    keys = {r["__doc"]: tuple(r["__key"]) for r in mx.keyed(df, None, mx.SEED).select("__doc", "__key").collect()}
     groups = {}
     for i, t, lang, s in rows:
         m = tuple(sorted(x for x in (s and f"source:{s}", lang and f"lang:{lang}") if x))
@@ -46,7 +46,7 @@ def simple(rows, spark, **kw):
             by = groups.setdefault(m, {})
             by.setdefault(keys[i], [i, []])[1].append((len(t.encode()) + 3) // 4)
     patterns = sorted((m, sum(sum(v[1]) for v in g.values())) for m, g in groups.items())
-    flows, _ = mx.route(patterns, mx.quotas(patterns, None, mx.BUDGET, mx.TEMPERATURE))
+    flows, _ = mx.route(patterns, mx.quotas(patterns, None, mx.BUDGET, mx.TEMPERATURE, mx.FAMILIES))
     out = []
     for n, (m, t) in enumerate(patterns):
         bounds, at = [], 0
@@ -58,7 +58,7 @@ def simple(rows, spark, **kw):
         for key in sorted(groups[m]):
             i, toks = groups[m][key]
             for b, lo, hi in bounds:
-                k = sum(lo <= c + p * t < hi for p in range(mx.PASSES + 1))
+                k = sum(2 * lo <= 2 * (c + p * t) + sum(toks) < 2 * hi for p in range(mx.PASSES + 1))
                 if k:
                     out += [(i, b, k, x) for x in toks]
             c += sum(toks)
