@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.counting import counted, neighbour, running
 from ..sources.records import table
 
-WEEK, SUCCESSORS, GAP, NEAR, CUTOFF = 7 * 86400, 16, 1800, 300, 1705276800  # CUTOFF: 2024-01-15
+WEEK, GAP, NEAR, CUTOFF, DAY = 7 * 86400, 1800, 300, 1705276800, 86400000000  # CUTOFF: 2024-01-15; DAY in microseconds
 
 
 def _events(spark, sf_dir):
@@ -24,66 +25,57 @@ def causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(right, ["user_id", "day"]).where((gap > 0) & (gap <= WEEK * 1000000)).select(F.col("event_id").alias("cause"), "effect", gap.alias("gap_us"))
 
 
-def _probes(spark, sf_dir):
-    """Each event with each type that its user has: event_id, own type, us, value, type, n_after and n_before, the user's events of that
-    type within seven days after it and before it.  Differences of running counts; pairs are not listed."""
+def _ends(spark, sf_dir):
+    """By user and pair of types, its causes and effects: us, value, support (effects of a cause), is_cause, is_effect.
+
+    Each event is counted against each type that its user has, by events of that type within seven days after and before it; pairs
+    are not listed, and a user's events are divided by day."""
     e = _events(spark, sf_dir).where("user_id is not null and us is not null")
     types = e.select("user_id", F.col("event_type").alias("type")).distinct()
-    probe = e.join(types, "user_id").select("user_id", "type", "us", F.lit(0).alias("n"), F.col("event_type").alias("own"), "value")
-    w = Window.partitionBy("user_id", "type").orderBy("us")
-    upto = lambda d: F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, d)), F.lit(0))
-    both = probe.unionByName(e.select("user_id", F.col("event_type").alias("type"), "us", F.lit(1).alias("n"), F.col("event_type").alias("own"), "value"))
-    week = WEEK * 1000000
-    return both.select("*", (upto(week) - upto(0)).alias("n_after"), (upto(-1) - upto(-week - 1)).alias("n_before")).where("n = 0")
-
-
-def _ends(spark, sf_dir):
-    """By pair of types, its causes and effects: us, value, support (effects of a cause), is_cause, is_effect."""
-    side = lambda c, e, n, cause: F.struct(F.col(c).alias("cause_type"), F.col(e).alias("effect_type"), F.col(n).alias("n"), F.lit(cause).alias("is_cause"))
-    two = F.explode(F.array(side("own", "type", "n_after", 1), side("type", "own", "n_before", 0)))
-    p = _probes(spark, sf_dir).select("us", "value", two.alias("x")).select("us", "value", "x.*").where("n > 0")
-    return p.select("cause_type", "effect_type", "us", "value", (F.col("n") * F.col("is_cause")).alias("support"), "is_cause", (1 - F.col("is_cause")).alias("is_effect"))
+    ask = lambda x, strict, sign, cause: F.struct(x.alias("x"), F.lit(strict).alias("strict"), F.lit(sign).alias("sign"), F.lit(cause).alias("is_cause"))
+    us, week = F.col("us"), WEEK * 1000000
+    asks = F.explode(F.array(ask(us + week, False, 1, 1), ask(us, False, -1, 1), ask(us, True, 1, 0), ask(us - week, True, -1, 0)))
+    q = e.join(types, "user_id").select("user_id", "type", "event_id", "us", "value", F.col("event_type").alias("own"), asks.alias("q")).select("user_id", "type", "event_id", "us", "value", "own", "q.*")
+    c = counted(e.select("user_id", F.col("event_type").alias("type"), F.col("us").alias("x")), q, ["user_id", "type"], DAY)
+    n = c.groupBy("user_id", "event_id", "us", "value", "own", "type", "is_cause").agg(F.sum(F.col("sign") * F.col("n")).alias("n")).where("n > 0")
+    cause = F.col("is_cause") == 1
+    return n.select("user_id", F.when(cause, F.col("own")).otherwise(F.col("type")).alias("cause_type"), F.when(cause, F.col("type")).otherwise(F.col("own")).alias("effect_type"), "us", "value", (F.col("n") * F.col("is_cause")).alias("support"), "is_cause", (1 - F.col("is_cause")).alias("is_effect"))
 
 
 def causal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By pair of types: support, transition lift against the effect's share (at most 5, in fifths), and strength: 0.35 lift, 0.30 temporal
+    """By user (the namespace of the pattern) and pair of types: support, transition lift against the effect's share of the user's events (at most 5, in fifths), and strength: 0.35 lift, 0.30 temporal
     consistency (share of later effects among all pairs of a cause and an effect), 0.20 outcome stability (1 - coefficient of variation
     of the effects' values, 0.5 for fewer than two or a mean not above 0) and 0.15 log of the support, full at 20."""
-    keys = ["cause_type", "effect_type"]
-    # pairs in time order: within an hour by running counts, between hours by those of the hours before
-    hour = F.floor(F.col("us") / 3600000000).cast("bigint")
-    w = Window.partitionBy(*keys, "hour").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    t = _ends(spark, sf_dir).withColumn("hour", hour).withColumn("later", F.col("is_effect") * F.coalesce(F.sum("is_cause").over(w), F.lit(0)))
+    keys = ["user_id", "cause_type", "effect_type"]
+    t = _ends(spark, sf_dir)
+    strict = F.lit(True).alias("strict")
+    later = counted(t.where("is_cause = 1").select(*keys, F.col("us").alias("x")), t.where("is_effect = 1").select(*keys, F.col("us").alias("x"), strict), keys, 3600000000).groupBy(*keys).agg(F.sum("n").alias("later"))
     v = F.when(F.col("is_effect") == 1, F.col("value"))
-    sums = [F.sum(c).alias(c) for c in ("support", "is_cause", "is_effect", "later")]
-    h = t.groupBy(*keys, "hour").agg(*sums, F.count(v).alias("nv"), F.sum(v).alias("v"), F.avg(v).alias("m"), F.var_pop(v).alias("s"))
-    before = F.coalesce(F.sum("is_cause").over(Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    h = h.withColumn("later", F.col("later") + F.col("is_effect") * before)
-    g = h.groupBy(*keys).agg(*sums, F.sum("nv").alias("nv"), (F.sum("v") / F.sum("nv")).alias("mean"), F.sum(F.col("nv") * F.col("s")).alias("within"), F.sum(F.col("nv") * F.col("m") * F.col("m")).alias("squares"))
-    variance = F.greatest((F.col("within") + F.col("squares")) / F.col("nv") - F.col("mean") * F.col("mean"), F.lit(0.0))
-    stable = F.when((F.col("nv") >= 2) & (F.col("mean") > 0), F.greatest(F.lit(0.0), 1 - F.sqrt(variance) / F.col("mean"))).otherwise(0.5)
+    g = t.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("support", "is_cause", "is_effect")], F.count(v).alias("nv"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance")).join(later, keys)
+    stable = F.when((F.col("nv") >= 2) & (F.col("mean") > 0), F.greatest(F.lit(0.0), 1 - F.sqrt("variance") / F.col("mean"))).otherwise(0.5)
     in_order = F.col("later") / (F.col("is_cause").cast("double") * F.col("is_effect"))
-    total = _events(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
+    total = _events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     lift = F.least((F.col("support") / F.col("is_cause")) / (F.col("is_effect") / F.col("total")), F.lit(5.0)) / 5
     full = 0.35 * F.col("lift") + 0.30 * in_order + 0.20 * stable + 0.15 * F.least(F.log(1.0 + F.col("support")) / F.log(F.lit(21.0)), F.lit(1.0))
-    return g.crossJoin(F.broadcast(total)).withColumn("lift", lift).select(*keys, "support", F.round("lift", 6).alias("lift"), F.round(F.when(F.col("support") < 2, 0.3 * F.col("lift")).otherwise(full), 6).alias("strength"))
+    return g.join(total, "user_id").withColumn("lift", lift).select(*keys, "support", F.round("lift", 6).alias("lift"), F.round(F.when(F.col("support") < 2, 0.3 * F.col("lift")).otherwise(full), 6).alias("strength"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a user's events without a gap of half an hour."""
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    e = _events(spark, sf_dir).withColumn("new", (F.col("us") - F.lag("us").over(w) > GAP * 1000000).cast("int"))
-    e = e.withColumn("session", F.sum(F.coalesce("new", F.lit(0))).over(w))
-    return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+    e = neighbour(_events(spark, sf_dir).select("user_id", "us", "event_id"), ["user_id"], "us", "event_id", DAY)
+    e = e.withColumn("new", F.coalesce((F.col("us") - F.col("near.x") > GAP * 1000000).cast("int"), F.lit(0)))
+    e = running(e, ["user_id"], "us", "event_id", DAY, "new")
+    return e.groupBy("user_id", F.col("upto").alias("session")).agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
 
 
 def activation_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moving average of a user's rate of events: 0.3 x min(1 / gap in days, 100) + 0.7 x the former."""
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    gap = F.greatest((F.col("us") - F.lag("us").over(w)) / 86400e6, F.lit(0.001))
-    r = _events(spark, sf_dir).select("user_id", "us", "event_id", F.least(1 / gap, F.lit(100.0)).alias("rate"))
-    a = r.where("rate is not null").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("us", "event_id", "rate"))).alias("l"))
-    return a.select("user_id", F.round(F.aggregate("l", F.lit(0.0), lambda s, x: 0.7 * s + 0.3 * x["rate"]), 6).alias("velocity"))
+    """Moving average of a user's rate of events, 0.3 x min(1 / gap in days, 100) + 0.7 x the former, as the sum of 0.3 x 0.7 ** later events x rate; and the
+    strength of a record so activated, which began at 0.1 and got 0.2 each time, 1 at most."""
+    e = neighbour(_events(spark, sf_dir).select("user_id", "us", "event_id"), ["user_id"], "us", "event_id", DAY)
+    r = e.where("near is not null").withColumns({"rate": F.least(1 / F.greatest((F.col("us") - F.col("near.x")) / 86400e6, F.lit(0.001)), F.lit(100.0)), "one": F.lit(1)})
+    r = running(r, ["user_id"], "us", "event_id", DAY, "one")
+    r = r.join(r.groupBy(F.col("user_id").alias("u")).agg(F.count(F.lit(1)).alias("total")), F.col("user_id") == F.col("u"))
+    return r.groupBy("user_id").agg(F.round(F.sum(0.3 * F.pow(F.lit(0.7), F.col("total") - F.col("upto")) * F.col("rate")), 6).alias("velocity"), F.round(F.least(0.1 + 0.2 * (F.max("total") + 1), F.lit(1.0)), 6).alias("strength"), (F.max("total") + 1).alias("activations"))
 
 
 def cooccurrence_300s(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,19 +107,22 @@ def layer_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _E = "WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us FROM events)"
-_EDGE = f""", n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM e),
-edge AS (SELECT a.event_id AS cause, b.event_id AS effect, a.event_type AS cause_type, b.event_type AS effect_type, b.us - a.us AS gap_us FROM n a JOIN n b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn + 1 AND a.rn + {SUCCESSORS} AND b.us > a.us AND b.us - a.us <= {WEEK}000000)"""
+_EDGE = f""", edge AS (SELECT a.user_id, a.event_id AS cause, b.event_id AS effect, a.event_type AS cause_type, b.event_type AS effect_type, b.us - a.us AS gap_us, a.us AS ta, b.us AS tb, b.value FROM e a JOIN e b ON a.user_id = b.user_id AND b.us > a.us AND b.us - a.us <= {WEEK}000000)"""
 QUERIES = {f.__name__: f for f in (causal_edges, causal_strength, sessions, activation_velocity, cooccurrence_300s, log_replay, retention_keep_recent, layer_churn)}
 ORACLE_SQL = {
     "causal_edges": _E + _EDGE + " SELECT cause, effect, gap_us FROM edge",
-    "causal_strength": _E + _EDGE + """, g AS (SELECT cause_type, effect_type, count(*) AS support, count(DISTINCT cause) AS causes, count(DISTINCT effect) AS effects FROM edge GROUP BY 1, 2),
-l AS (SELECT *, least((support / causes) / (effects / (SELECT count(*) FROM e)), 5) / 5 AS lift FROM g)
-SELECT cause_type, effect_type, support, round(lift, 6) AS lift, round(CASE WHEN support < 2 THEN 0.3e0 * lift ELSE 0.35e0 * lift + 0.3e0 + 0.15e0 * least(ln(1e0 + support) / ln(11e0), 1) END, 6) AS strength FROM l""",
+    "causal_strength": _E + _EDGE + """, g AS (SELECT user_id, cause_type, effect_type, count(*) AS support, count(DISTINCT cause) AS causes, count(DISTINCT effect) AS effects FROM edge GROUP BY 1, 2, 3),
+ca AS (SELECT DISTINCT user_id, cause_type, effect_type, cause, ta FROM edge), ef AS (SELECT DISTINCT user_id, cause_type, effect_type, effect, tb, value FROM edge),
+ends AS (SELECT user_id, cause_type, effect_type, ta AS t, 1 AS c, 0 AS f FROM ca UNION ALL SELECT user_id, cause_type, effect_type, tb, 0, 1 FROM ef),
+o AS (SELECT user_id, cause_type, effect_type, sum(f * before) AS later FROM (SELECT user_id, cause_type, effect_type, f, coalesce(sum(c) OVER (PARTITION BY user_id, cause_type, effect_type ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ends) GROUP BY 1, 2, 3),
+v AS (SELECT user_id, cause_type, effect_type, CASE WHEN count(value) >= 2 AND avg(value) > 0 THEN greatest(0e0, 1 - stddev_pop(value) / avg(value)) ELSE 0.5e0 END AS stable FROM ef GROUP BY 1, 2, 3),
+l AS (SELECT *, least((support / causes) / (effects / (SELECT count(*) FROM e WHERE e.user_id = g.user_id)), 5) / 5 AS lift FROM g JOIN o USING (user_id, cause_type, effect_type) JOIN v USING (user_id, cause_type, effect_type))
+SELECT user_id, cause_type, effect_type, support, round(lift, 6) AS lift, round(CASE WHEN support < 2 THEN 0.3e0 * lift ELSE 0.35e0 * lift + 0.3e0 * later / (CAST(causes AS DOUBLE) * effects) + 0.2e0 * stable + 0.15e0 * least(ln(1e0 + support) / ln(21e0), 1) END, 6) AS strength FROM l""",
     "sessions": _E + f""", f AS (SELECT *, CASE WHEN us - lag(us) OVER w > {GAP}000000 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session FROM f)
 SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(us) AS start_us, max(us) AS end_us FROM s GROUP BY 1, 2""",
-    "activation_velocity": _E + """, r AS (SELECT user_id, us, event_id, least(1 / greatest((us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id)) / 86400e6, 0.001e0), 100) AS rate FROM e)
-SELECT user_id, round(list_reduce(list_prepend(0e0, list(rate ORDER BY us, event_id)), lambda s, x: 0.7e0 * s + 0.3e0 * x), 6) AS velocity FROM r WHERE rate IS NOT NULL AND NOT isnan(rate) GROUP BY 1""",
+    "activation_velocity": _E + """, l AS (SELECT user_id, us, event_id, lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS p FROM e), r AS (SELECT *, least(1 / greatest((us - p) / 86400e6, 0.001e0), 100) AS rate FROM l WHERE p IS NOT NULL)
+SELECT user_id, round(list_reduce(list_prepend(0e0, list(rate ORDER BY us, event_id)), lambda s, x: 0.7e0 * s + 0.3e0 * x), 6) AS velocity, round(least(0.1e0 + 0.2e0 * (count(*) + 1), 1), 6) AS strength, count(*) + 1 AS activations FROM r GROUP BY 1""",
     "cooccurrence_300s": _E + f""" SELECT least(x.event_type, y.event_type) AS a, greatest(x.event_type, y.event_type) AS b, count(*) AS n FROM e x JOIN e y ON x.user_id = y.user_id
 AND (y.us > x.us OR (y.us = x.us AND y.event_id > x.event_id)) AND y.us - x.us <= {NEAR}000000 GROUP BY 1, 2""",
     "log_replay": _E + " SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS rn FROM e) WHERE rn = 1 AND event_type <> 'error'",

@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import bits as B
 from ..functions import scalars as S
-from ..sources.records import AUTHORITY, LINKS_SQL, NOW, RECORDS_SQL, links, records, table
+from ..functions.counting import stored
+from ..sources.records import AUTHORITY, CONNECTIONS_SQL, LINKS_SQL, NOW, RECORDS_SQL, STEPS, connections, links, records, table
+from .beliefs import _B, _H, _P
 
 ASKED = ("en src1 size2", "de src3 the of and")
-K, PER_SIGNAL = 10, 40
+K, PER_SIGNAL, EXPANDED = 10, 40, 30
+SIGNALS = ("bits", "ngrams", "tags")
 TOP, BLOCK_ROWS = 20, 4096
 
 
 def _queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, q) for i, q in enumerate(ASKED)], "query int, q string").select("query", F.array_distinct(F.split(F.lower("q"), " ")).alias("words"))
+    return spark.createDataFrame([(i, q) for i, q in enumerate(ASKED)], "query int, q string").select("query", "q", F.array_distinct(F.split(F.lower("q"), " ")).alias("words"))
 
 
 def _top(df: DataFrame, signal: str, n: int) -> DataFrame:
@@ -100,18 +104,170 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= TOP).select("query", "vec_id", "score")
 
 
+def bit_signal(spark, sf_dir, n=PER_SIGNAL):
+    """Tanimoto of the query's bits and the text's: the bits are exploded and met with the query's, as postings are, so only records that share one go on."""
+    q = B.with_bits(_queries(spark), F.col("q")).select("query", F.explode("bits").alias("bit"), F.size("bits").alias("qn"))
+    r = B.with_bits(records(spark, sf_dir).select("id", "content"), F.col("content"))
+    r = r.select("id", F.size("bits").alias("rn"), F.explode("bits").alias("bit"))
+    hit = r.join(F.broadcast(q.select("query", "bit", "qn")), "bit").groupBy("query", "id").agg(F.count(F.lit(1)).alias("k"), F.first("rn").alias("rn"), F.first("qn").alias("qn"))  # two texts of a line each
+    return _top(hit.select("query", "id", F.round(F.col("k") / (F.col("rn") + F.col("qn") - F.col("k")), 9).alias("score")), "bits", n)
+
+
+def ngram_signal(spark, sf_dir, n=PER_SIGNAL):
+    """Share of equal positions of the query's MinHash signature and the text's."""
+    own = B.signatures(records(spark, sf_dir).select("id", "content"), F.col("content"))
+    asked = B.signatures(_queries(spark).select(F.col("query").alias("id"), "q"), F.col("q")).select(F.col("id").cast("int").alias("query"), F.col("sig").alias("asked"))
+    r = own.crossJoin(F.broadcast(asked))  # two rows
+    return _top(r.select("query", "id", F.round(B.agreement(F.col("sig"), F.col("asked")), 9).alias("score")), "ngrams", n)
+
+
+def bit_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_signal(spark, sf_dir, 20).select("query", "id", "score", "rank")
+
+
+def ngram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_signal(spark, sf_dir, 20).select("query", "id", "score", "rank")
+
+
+def text_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's number of bits and their sum, and its similarity to the record before it in its namespace's numbering."""
+    r = B.with_bits(records(spark, sf_dir).select("id", "content"), F.col("content")).select("id", "bits")
+    prev = r.select((F.col("id") + STEPS[1]).alias("pid"), F.col("bits").alias("pbits"))
+    j = r.join(prev, F.col("id") == F.col("pid"), "left")
+    return j.select("id", F.size("bits").cast("bigint").alias("n"), F.aggregate("bits", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.round(B.tanimoto(F.col("bits"), F.col("pbits")), 6).alias("tanimoto"), F.round(F.coalesce(1 - B.tanimoto(F.col("bits"), F.col("pbits")), F.lit(1.0)), 6).alias("surprise"))
+
+
 def fuse(signals: DataFrame, n_signals: int) -> DataFrame:
     """Sum of 1 / (61 + rank) over the lists, against the best that is possible."""
     return signals.groupBy("query", "id").agg(F.round(F.sum(1 / (61.0 + F.col("rank"))) / (n_signals / 61.0), 9).alias("fused"))
 
 
+def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query, id, bits, ngrams, tags (rank in each signal, null where it isn't in it), fused, graph, cause (scores), pre (before trust), trust, score.
+
+    Three signals fused, the best TOP_K live records of them; then records reached over two links (parent's score x weight x 0.6, from 0.05 on, thirty in
+    all), then up to three causes upwards (x 0.8 x 0.9 for each step after the first), each at its best score."""
+    lists = stored(bit_signal(spark, sf_dir).unionByName(ngram_signal(spark, sf_dir)).unionByName(tag_signal(spark, sf_dir)))  # PER_SIGNAL rows each
+    r = records(spark, sf_dir).where(S.alive()).select("id", "strength", "caused_by", F.round(S.trust(NOW, AUTHORITY), 9).alias("trust"))
+    r = stored(r)  # without texts, and read at each step
+    w = Window.partitionBy("query").orderBy(F.desc("fused"), "id")
+    ranks = lists.groupBy("query", "id").agg(*[F.max(F.when(F.col("signal") == s, F.col("rank"))).alias(s) for s in SIGNALS])
+    hit = fuse(lists, len(SIGNALS)).join(r.select("id"), "id").withColumn("i", F.row_number().over(w)).where(F.col("i") <= K).drop("i").join(ranks, ["query", "id"])
+    hit = stored(hit.select("query", "id", *SIGNALS, "fused"))  # K rows for each query
+    live = r.select("id")
+    e = connections(spark, sf_dir).groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    seen, front, left = hit.select("query", "id"), hit.select("query", "id", F.col("fused").alias("score")), None
+    reached = None
+    for hop in (1, 2):
+        n = e.join(F.broadcast(front.withColumnRenamed("id", "from")), F.col("a") == F.col("from")).select("query", F.col("b").alias("id"), F.round(F.col("score") * F.col("weight") * 0.6, 9).alias("score"))  # the front has K rows or EXPANDED for each query
+        n = n.where("score >= 0.05").groupBy("query", "id").agg(F.max("score").alias("score")).join(F.broadcast(seen), ["query", "id"], "left_anti").join(live, "id")
+        n = n.withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+        n = n.where(F.col("i") <= EXPANDED) if left is None else n.join(F.broadcast(left), "query", "left").where(F.col("i") <= EXPANDED - F.coalesce("used", F.lit(0)))
+        front = stored(n.select("query", "id", "score"))
+        left = front.groupBy("query").agg(F.count(F.lit(1)).alias("used"))
+        seen = seen.unionByName(front.select("query", "id"))
+        reached = front if reached is None else reached.unionByName(front)
+    found = hit.select("query", "id", F.col("fused").alias("score")).unionByName(reached)
+    up = r.select(F.col("id").alias("child"), F.col("caused_by").alias("parent")).where("parent is not null and parent <> child")
+    at, causes = found, None
+    for depth in range(3):
+        at = up.join(F.broadcast(at.withColumnRenamed("id", "child")), "child").select("query", F.col("parent").alias("id"), "score").join(live, "id").join(F.broadcast(seen), ["query", "id"], "left_anti")
+        step = at.select("query", "id", F.round(F.col("score") * 0.8 * 0.9**depth, 9).alias("score"))
+        causes = step if causes is None else causes.unionByName(step)
+    causes = causes.groupBy("query", "id").agg(F.max("score").alias("cause"))
+    all_ = hit.join(reached.withColumnRenamed("score", "graph"), ["query", "id"], "full_outer").join(causes, ["query", "id"], "full_outer")
+    all_ = all_.withColumn("pre", F.coalesce("fused", "graph", "cause")).join(r.select("id", "strength", "trust"), "id")
+    return all_.select("query", "id", *SIGNALS, "fused", "graph", "cause", "pre", "trust", F.round(F.col("pre") * F.col("strength") * F.col("trust"), 9).alias("score"))
+
+
 def recall_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query, id, fused, score (fused x strength x trust): the ten best live records for each query."""
-    both = fuse(tag_signal(spark, sf_dir).unionByName(token_signal(spark, sf_dir)), 2)
-    r = records(spark, sf_dir).where(S.alive()).select("id", "strength", S.trust(NOW, AUTHORITY).alias("trust"))
-    scored = both.join(r, "id").select("query", "id", "fused", F.round(F.col("fused") * F.col("strength") * F.col("trust"), 9).alias("score"))
+    """query, id, score, rank: the ten best records of the whole recall for each query."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K)
+    return recall(spark, sf_dir).select("query", "id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K)
+
+
+def recall_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record that the recall touches, with where its score comes from."""
+    return recall(spark, sf_dir)
+
+
+def overlays(matched: DataFrame, effects: DataFrame, cap: float) -> DataFrame:
+    """matched (query, id, score, pos) with scores times the record's multiplier (1 if it has none), kept within the cap, in the new order; `pos` moves by two places at most.
+
+    Nothing changes for queries with fewer than four records or none with a multiplier."""
+    j = matched.join(effects, "id", "left").withColumn("m", F.coalesce("multiplier", F.lit(1.0)))
+    w = Window.partitionBy("query")
+    on = (F.count(F.lit(1)).over(w) >= 4) & (F.count("multiplier").over(w) > 0)
+    new = F.when(on, F.round(F.greatest(F.least(F.col("score") * F.col("m"), F.col("score") * (1 + cap)), F.col("score") * (1 - cap)), 9)).otherwise(F.col("score"))
+    return j.select("query", "id", new.alias("score"), "pos").groupBy("query").applyInPandas(_settle, "query int, id bigint, score double, pos int")
+
+
+def _settle(pdf):
+    """At most twenty rows: by score, then swapped back until none is more than two places from where it was."""
+    rows = sorted(pdf[["query", "id", "score", "pos"]].itertuples(index=False), key=lambda r: (-r.score, r.pos))
+    for _ in range(len(rows)):
+        for i, r in enumerate(rows):
+            if abs(i - r.pos) > 2:
+                to = max(i - 1, r.pos) if i > r.pos else min(i + 1, r.pos)
+                rows[i], rows[to] = rows[to], rows[i]
+                break
+        else:
+            break
+    out = pdf[["query", "id", "score", "pos"]].iloc[: len(rows)].copy()
+    for k, name in enumerate(("query", "id", "score")):
+        out[name] = [r[k] for r in rows]
+    out["pos"] = range(len(rows))
+    return out.astype({"pos": "int32"})
+
+
+def _multipliers(spark, sf_dir) -> list[tuple[DataFrame, float]]:
+    """Of beliefs, concepts, causal patterns and policy hints: id and multiplier, and the cap."""
+    from . import beliefs as L
+    from .concepts import concept_records
+
+    rb = stored(L.record_beliefs(spark, sf_dir).select("id", "key", "state"))
+    by = lambda d, c: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col(c))
+    one = rb.select("id", by({"Resolved": 1.05, "Singleton": 1.02, "Unresolved": 0.97, "Empty": 1.0}, "state").alias("multiplier"))
+    two = concept_records(spark, sf_dir).select("id", F.when(F.col("state") == "Stable", 1.04).when(F.col("state") == "Candidate", 1.02).alias("multiplier")).where("multiplier is not null")
+    p = L.patterns(spark, sf_dir).where("state = 'Stable'").select("cause", "effect")
+    keys = p.select(F.col("effect").alias("k"), F.lit(1.03).alias("multiplier")).unionByName(p.select(F.col("cause").alias("k"), F.lit(1.01).alias("multiplier"))).groupBy("k").agg(F.max("multiplier").alias("multiplier"))
+    three = rb.join(keys, F.col("key") == F.col("k")).select("id", "multiplier")
+    h = L.hints(spark, sf_dir).select("cause", "effect", F.when(F.col("action").isin("prefer", "recommend") & (F.col("state") == "Stable"), 1.02).when(F.col("action").isin("prefer", "recommend") & (F.col("state") == "Candidate") & (F.col("policy") >= 0.70), 1.01).when((F.col("action") == "avoid") & (F.col("state") == "Stable"), 0.99).alias("m")).where("m is not null")
+    hk = h.select(F.explode(F.array("cause", "effect")).alias("k"), "m").groupBy("k").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).select("k", F.when(F.col("lo") < 1, F.col("lo")).otherwise(F.col("hi")).alias("multiplier"))
+    four = rb.join(hk, F.col("key") == F.col("k")).select("id", "multiplier")
+    return [(one, 0.05), (two, 0.04), (three, 0.03), (four, 0.02)]
+
+
+def overlay_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall's ten best after beliefs, concepts, causal patterns and policy hints have each moved them a little: query, id, score, pos (from 0), was."""
+    base = stored(recall_fused(spark, sf_dir).select("query", "id", "score", (F.col("rank") - 1).cast("int").alias("pos")))
+    out = base
+    for effects, cap in _multipliers(spark, sf_dir):
+        out = overlays(out, effects, cap)
+    return out.join(base.select("query", "id", F.col("pos").alias("was")), ["query", "id"])
+
+
+def belief_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ten best would score by their beliefs alone (x 1.10, 1.05, 0.95), and their rank then; a report, nothing moves."""
+    from . import beliefs as L
+
+    base = recall_fused(spark, sf_dir)
+    m = F.element_at(F.create_map(*[F.lit(x) for kv in {"Resolved": 1.10, "Singleton": 1.05, "Unresolved": 0.95, "Empty": 1.0}.items() for x in kv]), F.col("state"))
+    j = base.join(L.record_beliefs(spark, sf_dir).select("id", "state"), "id", "left").withColumn("shadow", F.round(F.col("score") * F.coalesce(m, F.lit(1.0)), 9))
+    return j.select("query", "id", "rank", "score", "shadow", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shadow"), "rank")).alias("shadow_rank"))
+
+
+def explain_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each record stands: its belief and stance, the strongest pattern of that belief, the hints on it, its cause and the step above."""
+    from . import beliefs as L
+
+    b = L.record_beliefs(spark, sf_dir)
+    p = L.patterns(spark, sf_dir).select(F.explode(F.array("cause", "effect")).alias("k"), F.round("strength", 6).alias("strength"), "cause", "effect").groupBy("k").agg(F.max("strength").alias("pattern"), F.count(F.lit(1)).alias("patterns"))
+    h = L.hints(spark, sf_dir).select(F.explode(F.array("cause", "effect")).alias("hk"), "action").groupBy("hk").agg(F.count(F.lit(1)).alias("hints"), F.array_join(F.array_sort(F.collect_set("action")), ",").alias("actions"))
+    r = records(spark, sf_dir).select("id", "caused_by")
+    up = r.select(F.col("id").alias("pid"), F.col("caused_by").alias("above"))
+    j = r.join(b, "id", "left").join(p, F.col("key") == F.col("k"), "left").join(h, F.col("key") == F.col("hk"), "left").join(up, F.col("caused_by") == F.col("pid"), "left")
+    return j.select("id", "key", "stance", "state", "pattern", F.coalesce("patterns", F.lit(0)).alias("patterns"), F.coalesce("hints", F.lit(0)).alias("hints"), F.coalesce("actions", F.lit("")).alias("actions"), "caused_by", "above")
 
 
 def hybrid_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,14 +290,14 @@ def graph_expand_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ancestor_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three steps along the parent link: strength x 0.8 x 0.9 ** depth; a record that is its own parent ends the walk."""
+    """Up to three steps along the parent link: strength x 0.8 x 0.9 for each step after the first; a record that is its own parent ends the walk."""
     r = records(spark, sf_dir).where(S.alive()).select("id", "strength", "caused_by")
     up = r.select("id", F.col("caused_by").alias("parent"))
     at = r.select(F.col("id").alias("start"), F.col("caused_by").alias("node"), "strength", F.col("id").alias("child"))
     out = None
     for depth in (1, 2, 3):
         at = at.where("node <> child").join(up, F.col("node") == F.col("id")).select("start", "node", "strength", "parent")
-        step = at.select("start", F.col("node").alias("ancestor"), F.lit(depth).alias("depth"), F.round(F.col("strength") * 0.8 * 0.9**depth, 9).alias("score"))
+        step = at.select("start", F.col("node").alias("ancestor"), F.lit(depth).alias("depth"), F.round(F.col("strength") * 0.8 * 0.9 ** (depth - 1), 9).alias("score"))
         out = step if out is None else out.unionByName(step)
         at = at.select("start", F.col("parent").alias("node"), "strength", F.col("node").alias("child"))
     return out
@@ -161,16 +317,47 @@ _TRUST = f"""least(greatest((coalesce(trust_score, 0.5e0) + greatest(0.2e0 * (1
   * CASE source_type WHEN 'recorded' THEN 1.0 WHEN 'retrieved' THEN 0.9 WHEN 'inferred' THEN 0.85 WHEN 'generated' THEN 0.8 ELSE 0.9 END, 0.05e0), 1e0)"""
 _HOP = lambda n, prev, seen: f"h{n} AS (SELECT b AS node, max(round(score * weight * 0.6e0, 9)) AS score FROM {prev} JOIN links ON node = a WHERE round(score * weight * 0.6e0, 9) >= 0.05 AND b NOT IN (SELECT node FROM {seen}) GROUP BY b)"
 
-QUERIES = {f.__name__: f for f in (recall_fused, tag_jaccard_topk, token_jaccard_topk, cosine_topk, hybrid_recency, graph_expand_2hop, ancestor_walk)}
+_QC = "qc AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(ASKED)) + ") AS t(query, q))"
+_A, _BB = B.permutations()
+_BITS = f"{B.sql_bits('rb', 'records', 'id', '''lower(trim(content, ' '))''')}, {B.sql_bits('qb', 'qc', 'query', '''lower(trim(q, ' '))''')}, rn AS (SELECT id, count(*) AS rn FROM rb GROUP BY 1), qn AS (SELECT query, count(*) AS qn FROM qb GROUP BY 1)"
+_SIGS = f"""perm AS (SELECT unnest({_A.tolist()}) AS a, unnest({_BB.tolist()}) AS b, unnest(range({B.HASHES})) AS k), {B.sql_shingles('rs1', 'records', 'id', 'content')}, rs AS (SELECT id, k, min((a * s + b) % {B.P}) AS v FROM rs1, perm GROUP BY 1, 2),
+{B.sql_shingles('qs1', 'qc', 'query', 'q')}, qs AS (SELECT query, k, min((a * s + b) % {B.P}) AS v FROM qs1, perm GROUP BY 1, 2)"""
+_RANKED = lambda name, body, n: f"{name} AS (SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM ({body}) WHERE score > 0) WHERE rank < {n})"
+_BIT_BODY = "SELECT query, id, round(k / (rn + qn - k), 9) AS score FROM (SELECT query, id, count(*) AS k FROM rb JOIN qb USING (bit) GROUP BY 1, 2) JOIN rn USING (id) JOIN qn USING (query)"
+_NGRAM_BODY = f"SELECT query, id, round(count(*) / {B.HASHES}, 9) AS score FROM rs JOIN qs USING (k, v) GROUP BY 1, 2"
+_RECALL = f"""WITH RECURSIVE {RECORDS_SQL}, {CONNECTIONS_SQL}, {_WORDS}, {_QC}, {_BITS}, {_SIGS}, {_RANKED('l1', _BIT_BODY, PER_SIGNAL)}, {_RANKED('l2', _NGRAM_BODY, PER_SIGNAL)}, {_signal_sql('l3', _TAGS, PER_SIGNAL)},
+r AS (SELECT id, strength, caused_by, round({_TRUST}, 9) AS trust FROM records WHERE strength >= 0.05), u AS (SELECT 1 AS s, query, id, rank FROM l1 UNION ALL SELECT 2, query, id, rank FROM l2 UNION ALL SELECT 3, query, id, rank FROM l3),
+f AS (SELECT query, id, max(CASE WHEN s = 1 THEN rank END) AS bits, max(CASE WHEN s = 2 THEN rank END) AS ngrams, max(CASE WHEN s = 3 THEN rank END) AS tags, round(sum(1 / (61e0 + rank)) / (3 / 61e0), 9) AS fused FROM u GROUP BY 1, 2),
+hit AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY query ORDER BY fused DESC, id) AS i FROM f WHERE id IN (SELECT id FROM r)) WHERE i <= {K}), e AS (SELECT a, b, max(weight) AS weight FROM connections GROUP BY 1, 2),
+n1 AS (SELECT query, b AS id, max(round(fused * weight * 0.6e0, 9)) AS score FROM hit JOIN e ON a = hit.id WHERE round(fused * weight * 0.6e0, 9) >= 0.05 AND b IN (SELECT id FROM r) AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.query = hit.query AND h.id = e.b) GROUP BY 1, 2),
+g1 AS (SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS i FROM n1) WHERE i <= {EXPANDED}), s1 AS (SELECT query, id FROM hit UNION ALL SELECT query, id FROM g1),
+n2 AS (SELECT query, b AS id, max(round(score * weight * 0.6e0, 9)) AS score FROM g1 JOIN e ON a = g1.id WHERE round(score * weight * 0.6e0, 9) >= 0.05 AND b IN (SELECT id FROM r) AND NOT EXISTS (SELECT 1 FROM s1 h WHERE h.query = g1.query AND h.id = e.b) GROUP BY 1, 2),
+g2 AS (SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS i FROM n2) z WHERE i <= {EXPANDED} - (SELECT count(*) FROM g1 WHERE g1.query = z.query)),
+graph AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2), s2 AS (SELECT query, id FROM hit UNION ALL SELECT query, id FROM graph), found AS (SELECT query, id, fused AS score FROM hit UNION ALL SELECT query, id, score FROM graph),
+up AS (SELECT id AS child, caused_by AS parent FROM r WHERE caused_by <> id AND caused_by IN (SELECT id FROM r)),
+walk AS (SELECT query, parent AS id, score, 0 AS depth FROM found JOIN up ON child = found.id WHERE (query, parent) NOT IN (SELECT (query, id) FROM s2) UNION ALL SELECT query, parent, score, depth + 1 FROM walk JOIN up ON child = walk.id WHERE depth < 2 AND (query, parent) NOT IN (SELECT (query, id) FROM s2)),
+cause AS (SELECT query, id, max(round(score * 0.8e0 * power(0.9e0, depth), 9)) AS cause FROM walk GROUP BY 1, 2),
+out AS (SELECT coalesce(hit.query, graph.query, cause.query) AS query, coalesce(hit.id, graph.id, cause.id) AS id, bits, ngrams, tags, fused, graph.score AS graph, cause.cause AS cause FROM hit FULL JOIN graph ON graph.query = hit.query AND graph.id = hit.id FULL JOIN cause ON cause.query = coalesce(hit.query, graph.query) AND cause.id = coalesce(hit.id, graph.id)),
+recall AS (SELECT query, out.id, bits, ngrams, tags, fused, graph, cause, coalesce(fused, graph, cause) AS pre, trust, round(coalesce(fused, graph, cause) * strength * trust, 9) AS score FROM out JOIN r ON r.id = out.id)"""
+_LAYERS = _B.removeprefix(f"WITH RECURSIVE {RECORDS_SQL}, ")
+_HINTS = _H.removeprefix(f"{_P}, ")
+QUERIES = {f.__name__: f for f in (recall_fused, recall_trace, overlay_rerank, belief_shadow, explain_records, bit_topk, ngram_topk, text_bits, tag_jaccard_topk, token_jaccard_topk, cosine_topk, hybrid_recency, graph_expand_2hop, ancestor_walk)}
 ORACLE_SQL = {
     "tag_jaccard_topk": f"WITH {RECORDS_SQL}, {_WORDS}, {_signal_sql('t', _TAGS, 20)} SELECT * FROM t",
     "token_jaccard_topk": f"WITH {RECORDS_SQL}, {_WORDS}, {_signal_sql('t', _TOKENS, 20)} SELECT * FROM t",
-    "cosine_topk": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 0)
-SELECT vec_id, round(list_cosine_similarity(v, q), 6) AS score FROM e, q WHERE round(list_cosine_similarity(v, q), 6) > 0 ORDER BY score DESC, vec_id LIMIT 20""",
-    "recall_fused": f"""WITH {RECORDS_SQL}, {_WORDS}, {_signal_sql('t', _TAGS, PER_SIGNAL)}, {_signal_sql('k', _TOKENS, PER_SIGNAL)},
-f AS (SELECT query, id, round(sum(1 / (61e0 + rank)) / (2 / 61e0), 9) AS fused FROM (SELECT query, id, rank FROM t UNION ALL SELECT query, id, rank FROM k) GROUP BY 1, 2),
-s AS (SELECT query, id, fused, round(fused * strength * {_TRUST}, 9) AS score FROM f JOIN records USING (id) WHERE strength >= 0.05)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= {K}""",
+    "cosine_topk": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b)
+SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS n FROM p WHERE score > 0) WHERE n <= {TOP}""",
+    "recall_fused": f"{_RECALL} SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM recall) WHERE rank <= {K}",
+    "recall_trace": f"{_RECALL} SELECT * FROM recall",
+    "belief_shadow": f"""{_RECALL}, {_LAYERS}, top AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM recall), s AS (SELECT query, top.id, rank, score, round(score * CASE state WHEN 'Resolved' THEN 1.1e0 WHEN 'Singleton' THEN 1.05e0 WHEN 'Unresolved' THEN 0.95e0 ELSE 1e0 END, 9) AS shadow
+FROM top LEFT JOIN g ON g.id = top.id LEFT JOIN b USING (key) WHERE rank <= {K}) SELECT *, row_number() OVER (PARTITION BY query ORDER BY shadow DESC, rank) AS shadow_rank FROM s""",
+    "explain_records": f"""{_P}, pp AS (SELECT key, max(round(strength, 6)) AS pattern, count(*) AS patterns FROM (SELECT unnest([cause, effect]) AS key, strength FROM p) GROUP BY 1), {_HINTS}, hh AS (SELECT key, count(*) AS hints, string_agg(DISTINCT action, ',' ORDER BY action) AS actions FROM (SELECT unnest([cause, effect]) AS key, action FROM h) GROUP BY 1)
+SELECT r.id, g.key, CASE WHEN g.id IS NOT NULL THEN CASE WHEN g.semantic_type = 'contradiction' OR g.conflict > g.support THEN 'oppose' ELSE 'support' END END AS stance, CASE WHEN g.id IS NOT NULL THEN coalesce(b.state, 'Empty') END AS state, pattern, coalesce(patterns, 0) AS patterns, coalesce(hints, 0) AS hints, coalesce(actions, '') AS actions, r.caused_by, x.caused_by AS above
+FROM records r LEFT JOIN g ON g.id = r.id LEFT JOIN b ON b.key = g.key LEFT JOIN pp ON pp.key = g.key LEFT JOIN hh ON hh.key = g.key LEFT JOIN records x ON x.id = r.caused_by""",
+    "bit_topk": f"WITH {RECORDS_SQL}, {_QC}, {_BITS}, {_RANKED('t', _BIT_BODY, 20)} SELECT * FROM t",
+    "ngram_topk": f"WITH {RECORDS_SQL}, {_QC}, {_SIGS}, {_RANKED('t', _NGRAM_BODY, 20)} SELECT * FROM t",
+    "text_bits": f"""WITH {RECORDS_SQL}, {_QC}, {_BITS}, m AS (SELECT id, count(*) AS n, CAST(sum(bit) AS BIGINT) AS total FROM rb GROUP BY 1), j AS (SELECT x.id, count(*) AS k FROM rb x JOIN rb y ON y.id = x.id - {STEPS[1]} AND x.bit = y.bit GROUP BY 1),
+t AS (SELECT r.id, coalesce(m.n, 0) AS n, coalesce(m.total, 0) AS total, coalesce(k / (m.n + p.n - k), 0e0) AS t FROM records r LEFT JOIN m USING (id) LEFT JOIN m p ON p.id = r.id - {STEPS[1]} LEFT JOIN j ON j.id = r.id) SELECT id, n, total, round(t, 6) AS tanimoto, round(1 - t, 6) AS surprise FROM t""",
     "hybrid_recency": f"""WITH {RECORDS_SQL}, {_WORDS}, {_signal_sql('t', _TAGS, PER_SIGNAL)}
 SELECT query, id, round(score + 0.1e0 / (60 + row_number() OVER (PARTITION BY query ORDER BY created_at DESC, id) - 1), 9) AS score FROM t JOIN records USING (id)""",
     "graph_expand_2hop": f"""WITH {LINKS_SQL}, h0 AS (SELECT 's' || s_suppkey AS node, 1e0 AS score FROM supplier WHERE s_nationkey = 7), {_HOP(1, 'h0', 'h0')},
@@ -179,5 +366,5 @@ SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 F
     "ancestor_walk": f"""WITH RECURSIVE {RECORDS_SQL}, r AS (SELECT id, strength, caused_by FROM records WHERE strength >= 0.05),
 w AS (SELECT r.id AS start, r.strength AS s, p.id AS node, p.caused_by AS up, 1 AS depth FROM r JOIN r p ON p.id = r.caused_by AND p.id <> r.id
   UNION ALL SELECT w.start, w.s, p.id, p.caused_by, depth + 1 FROM w JOIN r p ON p.id = w.up AND p.id <> w.node WHERE depth < 3)
-SELECT start, node AS ancestor, depth, round(s * 0.8e0 * power(0.9e0, depth), 9) AS score FROM w""",
+SELECT start, node AS ancestor, depth, round(s * 0.8e0 * power(0.9e0, depth - 1), 9) AS score FROM w""",
 }

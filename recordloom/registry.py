@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import causal, insights, recall
+from .operators import admin, beliefs, causal, concepts, health, insights, recall, texts
 
-QUERIES: dict = {**recall.QUERIES, **insights.QUERIES, **causal.QUERIES}
-ORACLE_SQL: dict[str, str] = {**recall.ORACLE_SQL, **insights.ORACLE_SQL, **causal.ORACLE_SQL}
+_ALL = (recall, insights, causal, beliefs, concepts, texts, health, admin)
+QUERIES: dict = {k: f for m in _ALL for k, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: sql for m in _ALL for k, sql in m.ORACLE_SQL.items()}

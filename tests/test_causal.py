@@ -38,28 +38,28 @@ def test_edges_are_all_pairs_of_the_week(spark, tmp_path):
 def patterns(rows):
     by = defaultdict(list)
     for i, j, _ in edges(rows):
-        by[rows[i][2], rows[j][2]].append((i, j))
+        by[rows[i][1], rows[i][2], rows[j][2]].append((i, j))
     return by
 
 
 def test_support_and_lift_count_all_pairs(spark, tmp_path):
     rows = some()
-    got = {(r.cause_type, r.effect_type): (r.support, r.lift) for r in causal.causal_strength(spark, table(spark, tmp_path, rows)).collect()}
+    got = {(r.user_id, r.cause_type, r.effect_type): (r.support, r.lift) for r in causal.causal_strength(spark, table(spark, tmp_path, rows)).collect()}
     by = patterns(rows)
     assert set(got) == set(by)
     for k, e in by.items():
         causes, effects = len({i for i, _ in e}), len({j for _, j in e})
-        assert got[k] == (len(e), pytest.approx(min(len(e) / causes / (effects / len(rows)), 5) / 5, abs=1e-6))
+        assert got[k] == (len(e), pytest.approx(min(len(e) / causes / (effects / sum(r[1] == k[0] for r in rows)), 5) / 5, abs=1e-6))
 
 
 def test_strength_has_all_four_terms(spark, tmp_path):
     rows = [*some(), (5, 9, "signup", 4.0), (9, 9, "purchase", 5.0), (5, 10, "signup", 4.0), (9, 10, "login", 5.0), (12, 10, "login", 25.0)]
-    got = {(r.cause_type, r.effect_type): r.strength for r in causal.causal_strength(spark, table(spark, tmp_path, rows)).collect()}
+    got = {(r.user_id, r.cause_type, r.effect_type): r.strength for r in causal.causal_strength(spark, table(spark, tmp_path, rows)).collect()}
     by = patterns(rows)
-    assert set(got) == set(by) and got["signup", "purchase"] == pytest.approx(0.3 * 1.0)
+    assert set(got) == set(by) and got[9, "signup", "purchase"] == pytest.approx(0.3 * 0.4)
     for k, e in by.items():
         causes, effects = {i for i, _ in e}, {j for _, j in e}
-        lift = min(len(e) / len(causes) / (len(effects) / len(rows)), 5) / 5
+        lift = min(len(e) / len(causes) / (len(effects) / sum(r[1] == k[0] for r in rows)), 5) / 5
         order = np.mean([rows[j][0] > rows[i][0] for i in causes for j in effects])
         v = np.array([rows[j][3] for j in effects])
         stable = max(0.0, 1 - v.std() / v.mean()) if v.size > 1 else 0.5
