@@ -6,6 +6,7 @@ blocks only to bound memory, and never in the middle of a word.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -143,6 +144,15 @@ def bounded_sample(rows: DataFrame, total: int, sample: int, key: Column) -> Dat
     return few.orderBy(h).limit(sample)
 
 
+def give_back() -> None:
+    """Hands memory that is free, but kept by the allocators, back to the system: the worker goes on with other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with about `limit` bytes in the column each; a longer text makes a batch of its own."""
     batch = None
@@ -159,7 +169,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = BLOCK) -
             yield batch.slice(at, to - at)
             at = to
     del batch
-    pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
+    give_back()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

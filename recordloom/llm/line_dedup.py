@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL, U64, arrow_out, numbered, parted, raw, slices, small_batches, written
+from .common import SMALL, U64, arrow_out, give_back, numbered, parted, raw, slices, small_batches, written
 
 SLOT_BITS, PROBES, BITS_PER_LINE = 1 << 20, 4, 8
 MAX_BITS, RANGE_BITS = 1 << 29, 1 << 24
@@ -85,6 +85,8 @@ def _build(slots: int):
         for lo, hi in zip(at, [*at[1:], slot.size], strict=True):
             seen = np.bincount(bits[lo:hi].ravel(), minlength=SLOT_BITS)
             yield arrow_out(schema, slot[lo : lo + 1], [_squeeze(seen > 0)], [_squeeze(seen > 1)])
+        del hashes, slot, bits, order
+        give_back()
 
     return run
 
@@ -109,6 +111,8 @@ def _suspect(shared, slots: int):
                 hit = ((table[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1).all(axis=1)
                 if hit.any():
                     yield batch.filter(pa.array(hit))
+        del table, filters
+        give_back()
 
     return run
 
@@ -190,6 +194,7 @@ def _apply(text_at: int, drop_at: int, names: list[str]):
                 text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
             columns = [text if i == text_at else c for i, c in enumerate(batch.columns) if i != drop_at]
             yield pa.RecordBatch.from_arrays([*columns, pc.fill_null(lines, 0), pa.array(lost)], names=names)
+        give_back()
 
     return run
 
