@@ -43,6 +43,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_layers: dict[tuple, DataFrame] = {}
+
+
+def layered(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The table of a layer that others stand on (beliefs, patterns, hints, concepts), stored when it is first asked for and rebuilt only when the documents' files are others than then."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _layers:
+        _layers[key] = stored(build())
+    return _layers[key]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of its component) for every end of an edge, by large-star and small-star steps until nothing changes."""
     e = stored(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("v <> u").distinct())

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions import text as T
-from ..functions.counting import counted, stored
+from ..functions.counting import counted, layered, stored
 from ..sources.records import NOW, RECORDS_SQL, records
 from . import sqltext as Q
 
@@ -74,6 +74,10 @@ def _resolved(h: DataFrame) -> DataFrame:
 
 
 def beliefs(spark: SparkSession, sf_dir: str, mode: str = "semantic") -> DataFrame:
+    return layered(spark, sf_dir, f"beliefs-{mode}", lambda: build_beliefs(spark, sf_dir, mode))
+
+
+def build_beliefs(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     """key, namespace, semantic_type, n, n_hyp, state, winner, score, confidence, support, conflict, stability, volatility.
 
     The cycle before is the same over the records that were there CYCLE seconds ago; a winner with the same records as then is stable for two cycles."""
@@ -131,6 +135,10 @@ def record_beliefs(spark, sf_dir):
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layered(spark, sf_dir, "patterns", lambda: build_patterns(spark, sf_dir))
+
+
+def build_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causal patterns between resolved beliefs of a namespace: explicit links and records that follow within seven days.
 
     Pairs of records aren't listed: each record is counted against each belief of its namespace.  Records without a resolved belief take no part.
@@ -175,7 +183,7 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = g.withColumns({"lift": lift, "consistency": consistency, "stability": stability, "counter": F.col("explicit_total") - F.col("explicit")})
     full = 0.35 * F.col("lift") + 0.30 * F.col("consistency") + 0.20 * F.col("stability") + 0.15 * F.least(F.log2(F.col("support") + 1.0) / F.log2(F.lit(21.0)), F.lit(1.0))
     g = g.withColumn("strength", F.round(F.when(F.col("support") < 2, 0.3 * F.col("lift")).otherwise(full), 9))
-    return stored(g).withColumn("state", F.when(~(gate_support() & gate_repeated() & gate_counterfactual()), "Rejected").when(F.col("strength") >= 0.75, "Stable").when(F.col("strength") >= 0.50, "Candidate").otherwise("Rejected"))
+    return g.withColumn("state", F.when(~(gate_support() & gate_repeated() & gate_counterfactual()), "Rejected").when(F.col("strength") >= 0.75, "Stable").when(F.col("strength") >= 0.50, "Candidate").otherwise("Rejected"))
 
 
 def gate_support() -> Column:
@@ -218,6 +226,10 @@ SAID = {
 
 
 def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layered(spark, sf_dir, "hints", lambda: build_hints(spark, sf_dir))
+
+
+def build_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy hints from strong patterns: polarity of the effects, action, domain (two commonest tags of the cause's belief), scores, and state after the weaker of two conflicting hints is suppressed.
 
     Two hints of a namespace and domain conflict where one is for and one isn't and both come from the same cause."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import bits as B
-from ..functions.counting import components, stored
+from ..functions.counting import components, layered, stored
 from ..sources.records import records
 from . import beliefs as L
 
@@ -29,7 +29,7 @@ def seeds(b: DataFrame, stability: float = 1.0, confidence: float = 0.40) -> Dat
 
 def _parts(spark, sf_dir):
     """The seeds; and their records' terms and tags, by key."""
-    s = stored(seeds(L.beliefs(spark, sf_dir)))
+    s = seeds(L.beliefs(spark, sf_dir))
     g = L.grouped(records(spark, sf_dir)).join(s.select("key"), "key")
     return s, g
 
@@ -48,8 +48,8 @@ def similar(s: DataFrame, g: DataFrame, alike: float = ALIKE) -> DataFrame:
 def concepts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Concepts; their members (concept, key); the seeds' records.  Beliefs are joined by single linkage at ALIKE."""
     s, g = _parts(spark, sf_dir)
-    pairs = stored(similar(s, g))
-    members = stored(components(pairs.where(F.col("jaccard") >= ALIKE)).select(F.col("root").alias("concept"), F.col("node").alias("key")))
+    pairs = layered(spark, sf_dir, "pairs", lambda: similar(s, g))
+    members = layered(spark, sf_dir, "members", lambda: components(pairs.where(F.col("jaccard") >= ALIKE)).select(F.col("root").alias("concept"), F.col("node").alias("key")))
     one, two = (members.select(F.col("concept").alias(f"c{x}"), F.col("key").alias(x)) for x in "ab")
     cohesion = pairs.join(one, "a").join(two, "b").where("ca = cb").groupBy(F.col("ca").alias("cc")).agg(F.sum("jaccard").alias("sum"))
     m = members.join(s, "key").groupBy("concept").agg(F.first("namespace").alias("namespace"), F.count(F.lit(1)).alias("n_beliefs"), F.sum("n").alias("n_records"), F.sum("support").alias("support"), F.avg("confidence").alias("confidence"), F.avg("stability").alias("stability"))

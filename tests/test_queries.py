@@ -36,7 +36,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+# unions and further views of queries that are here themselves
+VIEWS = {"insight_union", "maintenance_run", "recall_trace", "belief_shadow", "recall_text", "recall_activation", "explain_records"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - VIEWS))
 def test_like_sql(spark, con, name):
     df = registry.QUERIES[name](spark, SF)
     got = con.execute(registry.ORACLE_SQL[name])
