@@ -1,7 +1,7 @@
 """Quality rules by host.
 
 Each document is held against the rules; a host's rate is the share of its documents that fail one.  Rates of small hosts are shrunk
-towards the rest by a beta prior whose mean and strength are fitted to all hosts' rates by moments: rate = (failed + a) / (n + a + b).
+towards the rest by a beta prior whose mean and strength are fitted to all hosts' rates by moments, less the variance that chance gives a rate: rate = (failed + a) / (n + a + b).
 A host is bad from BAD on, suspect from SUSPECT on, else good.  A failed rule gives a document points, three if it is in SEVERE and else one; documents
 of good hosts go with three points, of suspect hosts with two, of bad ones with one; a document that fails no rule always stays.
 
@@ -54,7 +54,9 @@ def host_rates(failed: DataFrame) -> DataFrame:
     """host, n, failed, rate (shrunk), verdict."""
     hosts = failed.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("n_failed") > 0, 1).otherwise(0)).alias("failed"))
     rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
+    # a host's rate varies by chance too, the more the smaller it is: that isn't variance between hosts
+    chance = F.avg(rate * (1 - rate) / F.col("n"))
+    prior = hosts.agg(F.avg(rate).alias("m"), F.greatest(F.coalesce(F.var_pop(rate), F.lit(0.0)) - F.coalesce(chance, F.lit(0.0)), F.lit(0.0)).alias("v"))
     strength = F.when(F.col("v") > 1e-12, F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(MOST))
     prior = prior.select((F.col("m") * strength).alias("a"), strength.alias("s"))
     out = hosts.crossJoin(F.broadcast(prior)).withColumn("rate", F.round((F.col("failed") + F.col("a")) / (F.col("n") + F.col("s")), 9))  # one row
@@ -74,6 +76,12 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def page_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for web pages: the text without tags, and the host of the URL."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return verdicts(p.select(F.col("page_id").alias("doc_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"), "url"), host_of("url"))
+
+
 ORACLE_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, list_filter(string_split_regex(t, '[ \n\t\r]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS l FROM t),
@@ -84,7 +92,7 @@ g AS (SELECT doc_id, host, nw AS n_words,
   CAST(nl >= 4 AND dl / nl < {LINES} AS INT) + CAST(nw > 0 AND n / greatest(nw, 1) > {LONG_WORDS} AS INT) + CAST((n - nd) / greatest(n, 1) > {DIGITS} AS INT) AS mild FROM m),
 f AS (SELECT doc_id, host, n_words, severe + mild AS n_failed, 3 * severe + mild AS points FROM g),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE n_failed > 0) AS failed FROM f GROUP BY host),
-p AS (SELECT avg(failed / n) AS m, coalesce(var_pop(failed / n), 0) AS v FROM h),
+p AS (SELECT avg(failed / n) AS m, greatest(coalesce(var_pop(failed / n), 0) - avg(failed / n * (1 - failed / n) / n), 0) AS v FROM h),
 s AS (SELECT m, CASE WHEN v > 1e-12 THEN least({MOST}, greatest({LEAST}, m * (1 - m) / v - 1)) ELSE {MOST} END AS s FROM p),
 r AS (SELECT host, round((failed + m * s) / (n + s), 9) AS rate FROM h, s),
 v AS (SELECT host, rate, CASE WHEN rate >= {BAD} THEN 'bad' WHEN rate >= {SUSPECT} THEN 'suspect' ELSE 'good' END AS verdict FROM r)
@@ -92,3 +100,7 @@ SELECT doc_id, host, n_words, n_failed, points, rate AS host_rate, verdict AS ho
   points < CASE verdict WHEN 'bad' THEN 1 WHEN 'suspect' THEN 2 ELSE 3 END AS keep
 FROM f JOIN v USING (host)
 """
+PAGES_SQL = ORACLE_SQL.replace(
+    "SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents",
+    "SELECT page_id AS doc_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host, coalesce(regexp_replace(html, '<[^>]*>', ' ', 'g'), '') AS t FROM pages",
+)

@@ -12,8 +12,9 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_license_notices": licenses.op6_license_notices,
     "op7_host_quality": host_rules.op7_host_quality,
+    "page_host_quality": host_rules.page_host_quality,
     "op8_html_extraction": html_cut.op8_html_extraction,
     "op9_media_columns": media.op9_media_columns,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op7_host_quality": host_rules.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_host_quality": host_rules.ORACLE_SQL, "page_host_quality": host_rules.PAGES_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}

@@ -27,6 +27,7 @@ def plain(rows):
         by.setdefault(s or "", []).append(measures(t)[1] > 0)
     rate = {s: np.mean(v) for s, v in by.items()}
     m, v = np.mean(list(rate.values())), np.var(list(rate.values()))
+    v = max(0.0, v - np.mean([rate[s] * (1 - rate[s]) / len(by[s]) for s in by]))  # less what chance gives
     k = min(hr.MOST, max(hr.LEAST, m * (1 - m) / v - 1)) if v > 1e-12 else hr.MOST
     out = []
     for i, t, s in rows:
@@ -59,3 +60,17 @@ def test_host_of_url(spark):
     urls = [("https://a.B.org:80/x?y", "a.b.org"), ("http://u@c.net#z", "c.net"), ("nothing", ""), (None, None)]
     df = spark.createDataFrame(urls, "u string, want string")
     assert [r[0] for r in df.select(hr.host_of("u")).collect()] == [w for _, w in urls]
+
+
+def test_pages_by_the_host_of_their_url(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, "https://u@A.example.org:80/x", "<p>one two</p>"), (2, "http://a.example.org", "<b></b>"), (3, None, "x"), (4, "http://b.example.net/?q", None), (5, "http://b.example.net", "<i>" + "12345 " * 30 + "</i>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = hr.page_host_quality(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(hr.PAGES_SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+    assert {r.host for r in got.collect()} == {"a.example.org", "b.example.net", ""}
