@@ -34,7 +34,7 @@ EMOTIONS = tuple((tuple(k.split("|")), w) for k, w in (
     ("confidential|key|password|secret", 2.5),
     ("ключ|пароль|таємниця", 2.5),
 ))
-METRICS = r"\d+\.?\d*\s*(ms|%|gb|mb|kb|fps|hz)"
+METRICS = r"[0-9]+[.]?[0-9]*\s*(?:%|fps|gb|hz|kb|mb|ms)"
 PIN_MARKS = ("Anchor:", "Important:", "Critical:", "Identity:")
 
 HEDGE = tuple("appears|arguably|i believe|i think|likely|may|might|not sure|perhaps|possibly|probably|seems|uncertain|здається|мабуть|можливо|напевно|не впевнений|не знаю|не певен|очевидно|схоже".split("|"))
