@@ -205,7 +205,7 @@ def overlays(matched: DataFrame, effects: DataFrame, cap: float) -> DataFrame:
 def _settle(pdf):
     """At most twenty rows: by score, then swapped back until none is more than two places from where it was."""
     rows = sorted(pdf[["query", "id", "score", "pos"]].itertuples(index=False), key=lambda r: (-r.score, r.pos))
-    for _ in range(len(rows)):
+    for _ in range(len(rows) ** 2):
         for i, r in enumerate(rows):
             if abs(i - r.pos) > 2:
                 to = max(i - 1, r.pos) if i > r.pos else min(i + 1, r.pos)
