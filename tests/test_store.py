@@ -115,3 +115,20 @@ def test_no_record_moves_more_than_two_places(spark):
     got = {r.id: (r.pos, r.score) for r in recall.overlays(base, up, 0.05).collect()}
     assert all(abs(p - i) <= 2 for i, (p, _) in got.items()) and got[9][1] == pytest.approx(0.991 * 1.05) and got[0][1] == pytest.approx(0.95)
     assert {r.id: r.pos for r in recall.overlays(base.where("id < 3"), up, 0.05).collect()} == {0: 0, 1: 1, 2: 2}
+
+
+def test_corpus_fingerprint_follows_causes_not_order(spark, tmp_path):
+    from recordloom.operators.health import corpus_fingerprint
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+    def of(name, d):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        return tuple(corpus_fingerprint(spark, f"{tmp_path}/{name}").first())
+
+    same = of("a", docs)
+    assert of("b", docs.orderBy("text").repartition(3)) == same
+    assert of("c", docs.selectExpr("* except (text)", "concat(text, 'x') as text")) == same
+    other = of("d", docs.selectExpr("* except (source)", "case when doc_id = 7 then 'elsewhere' else source end as source"))
+    assert other[:2] == same[:2] and other[2:] != same[2:]
+    assert of("e", docs.limit(0)) == (0, 0, 0, 0)
