@@ -26,7 +26,7 @@ def causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ends(spark, sf_dir):
-    """By user and pair of types, its causes and effects: us, value, support (effects of a cause), is_cause, is_effect.
+    """By user and pair of types, its causes and effects: event_id, us, value (of effects), support (effects of a cause), is_cause, is_effect.
 
     Each event is counted against each type that its user has, by events of that type within seven days after and before it; pairs
     are not listed, and a user's events are divided by day."""
@@ -35,11 +35,16 @@ def _ends(spark, sf_dir):
     ask = lambda x, strict, sign, cause: F.struct(x.alias("x"), F.lit(strict).alias("strict"), F.lit(sign).alias("sign"), F.lit(cause).alias("is_cause"))
     us, week = F.col("us"), WEEK * 1000000
     asks = F.explode(F.array(ask(us + week, False, 1, 1), ask(us, False, -1, 1), ask(us, True, 1, 0), ask(us - week, True, -1, 0)))
-    q = e.join(types, "user_id").select("user_id", "type", "event_id", "us", "value", F.col("event_type").alias("own"), asks.alias("q")).select("user_id", "type", "event_id", "us", "value", "own", "q.*")
+    q = e.join(types, "user_id").select("user_id", "type", "event_id", "us", "value", F.col("event_type").alias("own"), asks.alias("q")).select("user_id", "type", "event_id", "us", F.when(F.col("q.is_cause") == 0, F.col("value")).alias("value"), "own", "q.*")
     c = counted(e.select("user_id", F.col("event_type").alias("type"), F.col("us").alias("x")), q, ["user_id", "type"], DAY)
     n = c.groupBy("user_id", "event_id", "us", "value", "own", "type", "is_cause").agg(F.sum(F.col("sign") * F.col("n")).alias("n")).where("n > 0")
     cause = F.col("is_cause") == 1
-    return n.select("user_id", F.when(cause, F.col("own")).otherwise(F.col("type")).alias("cause_type"), F.when(cause, F.col("type")).otherwise(F.col("own")).alias("effect_type"), "us", "value", (F.col("n") * F.col("is_cause")).alias("support"), "is_cause", (1 - F.col("is_cause")).alias("is_effect"))
+    return n.select("user_id", F.when(cause, F.col("own")).otherwise(F.col("type")).alias("cause_type"), F.when(cause, F.col("type")).otherwise(F.col("own")).alias("effect_type"), "event_id", "us", "value", (F.col("n") * F.col("is_cause")).alias("support"), "is_cause", (1 - F.col("is_cause")).alias("is_effect"))
+
+
+def _six(x):
+    """x to six places as SQL does it, by the scaled double; Spark's own round takes the decimal digits, and ties come out otherwise."""
+    return F.round(x * 1e6) / 1e6
 
 
 def causal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +55,15 @@ def causal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _ends(spark, sf_dir)
     strict = F.lit(True).alias("strict")
     later = counted(t.where("is_cause = 1").select(*keys, F.col("us").alias("x")), t.where("is_effect = 1").select(*keys, F.col("us").alias("x"), strict), keys, 3600000000).groupBy(*keys).agg(F.sum("n").alias("later"))
-    v = F.when(F.col("is_effect") == 1, F.col("value"))
-    g = t.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("support", "is_cause", "is_effect")], F.count(v).alias("nv"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance")).join(later, keys)
+    ids = [F.count_distinct(F.when(F.col(c) == 1, F.col("event_id"))).alias(c) for c in ("is_cause", "is_effect")]
+    g = t.groupBy(*keys).agg(F.sum("support").alias("support"), *ids, F.count("value").alias("nv"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")).join(later, keys)
     stable = F.when((F.col("nv") >= 2) & (F.col("mean") > 0), F.greatest(F.lit(0.0), 1 - F.sqrt("variance") / F.col("mean"))).otherwise(0.5)
-    in_order = F.col("later") / (F.col("is_cause").cast("double") * F.col("is_effect"))
+    # multiplied first, as in the SQL: ties of the rounding hang on it; and, as there, infinite where no event has an id
+    in_order = F.coalesce(F.try_divide(0.30 * F.col("later"), F.col("is_cause").cast("double") * F.col("is_effect")), F.lit(float("inf")))
     total = _events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    lift = F.least((F.col("support") / F.col("is_cause")) / (F.col("is_effect") / F.col("total")), F.lit(5.0)) / 5
-    full = 0.35 * F.col("lift") + 0.30 * in_order + 0.20 * stable + 0.15 * F.least(F.log(1.0 + F.col("support")) / F.log(F.lit(21.0)), F.lit(1.0))
-    return g.join(total, "user_id").withColumn("lift", lift).select(*keys, "support", F.round("lift", 6).alias("lift"), F.round(F.when(F.col("support") < 2, 0.3 * F.col("lift")).otherwise(full), 6).alias("strength"))
+    lift = F.least(F.try_divide(F.try_divide("support", "is_cause"), F.col("is_effect") / F.col("total")), F.lit(5.0)) / 5
+    full = 0.35 * F.col("lift") + in_order + 0.20 * stable + 0.15 * F.least(F.log(1.0 + F.col("support")) / F.log(F.lit(21.0)), F.lit(1.0))
+    return g.join(total, "user_id").withColumn("lift", lift).select(*keys, "support", _six(F.col("lift")).alias("lift"), _six(F.when(F.col("support") < 2, 0.3 * F.col("lift")).otherwise(full)).alias("strength"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
