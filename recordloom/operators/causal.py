@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.counting import counted, neighbour, running
+from ..functions.counting import counted, neighbour, running, stored
 from ..sources.records import table
 
 WEEK, GAP, NEAR, CUTOFF, DAY = 7 * 86400, 1800, 300, 1705276800, 86400000000  # CUTOFF: 2024-01-15; DAY in microseconds
+SHARE, HOT = 1 << 20, 1 << 21  # events times types of a user: what one task is given at a time, and from where a user is divided by day
 
 
 def _events(spark, sf_dir):
@@ -25,12 +28,11 @@ def causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(right, ["user_id", "day"]).where((gap > 0) & (gap <= WEEK * 1000000)).select(F.col("event_id").alias("cause"), "effect", gap.alias("gap_us"))
 
 
-def _ends(spark, sf_dir):
+def _ends(e: DataFrame) -> DataFrame:
     """By user and pair of types, its causes and effects: event_id, us, value (of effects), support (effects of a cause), is_cause, is_effect.
 
     Each event is counted against each type that its user has, by events of that type within seven days after and before it; pairs
     are not listed, and a user's events are divided by day."""
-    e = _events(spark, sf_dir).where("user_id is not null and us is not null")
     types = e.select("user_id", F.col("event_type").alias("type")).distinct()
     ask = lambda x, strict, sign, cause: F.struct(x.alias("x"), F.lit(strict).alias("strict"), F.lit(sign).alias("sign"), F.lit(cause).alias("is_cause"))
     us, week = F.col("us"), WEEK * 1000000
@@ -42,6 +44,86 @@ def _ends(spark, sf_dir):
     return n.select("user_id", F.when(cause, F.col("own")).otherwise(F.col("type")).alias("cause_type"), F.when(cause, F.col("type")).otherwise(F.col("own")).alias("effect_type"), "event_id", "us", "value", (F.col("n") * F.col("is_cause")).alias("support"), "is_cause", (1 - F.col("is_cause")).alias("is_effect"))
 
 
+def _divided(e: DataFrame) -> DataFrame:
+    """What strength is made of, by user and pair of types, for users of any number of events: these are divided by day, so that a row for each event and type is shuffled."""
+    keys = ["user_id", "cause_type", "effect_type"]
+    t = _ends(e)
+    strict = F.lit(True).alias("strict")
+    later = counted(t.where("is_cause = 1").select(*keys, F.col("us").alias("x")), t.where("is_effect = 1").select(*keys, F.col("us").alias("x"), strict), keys, 3600000000).groupBy(*keys).agg(F.sum("n").alias("later"))
+    ids = [F.count_distinct(F.when(F.col(c) == 1, F.col("event_id"))).alias(c) for c in ("is_cause", "is_effect")]
+    return t.groupBy(*keys).agg(F.sum("support").alias("support"), *ids, F.count("value").alias("nv"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")).join(later, keys)
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The place of each value among the distinct ones, -1 for null; and these."""
+    d = column.combine_chunks().dictionary_encode()
+    return d.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+
+
+def _pairs_of_types(t: pa.Table) -> pa.Table:
+    """The same as _divided over all events of some users.  Times count by their place among the distinct ones, so that a user's number and a time are one number to search for."""
+    user, users = _codes(t["user_id"])
+    own, types = _codes(t["event_type"])
+    ident, known = _codes(t["event_id"])
+    us = t["us"].to_numpy()
+    value, valued = t["value"].to_numpy().astype(float) + 0.0, ~t["value"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+    times, at = np.unique(us, return_inverse=True)
+    width, kinds = times.size + 1, len(types)
+    base = user * width
+    till, since = (np.searchsorted(times, us + s * WEEK * 1000000, side) for s, side in ((1, "right"), (-1, "left")))
+    # a repeated event counts once as an end, and as an effect once for each value
+    pair = lambda a, b: np.unique(a * (b.max(initial=0) + 2) + b + 1, return_inverse=True)[1]
+    code = pair(pair(user * kinds + own, at), ident)
+    worth = np.where(valued, np.unique(value, return_inverse=True)[1], -1)
+    once = [np.zeros(us.size, bool), np.zeros(us.size, bool)]
+    for mark, c in zip(once, (code, pair(code, worth)), strict=True):
+        mark[np.unique(c, return_index=True)[1]] = True
+    causes, effects = [], []
+    for k in range(kinds):
+        there = np.sort((base + at)[own == k])
+        upto = lambda x: np.searchsorted(there, base + x)  # noqa: E731, B023
+        n = upto(till) - upto(at + 1)
+        row = np.flatnonzero(n)
+        causes.append(((user[row] * kinds + own[row]) * kinds + k, row, n[row]))
+        row = np.flatnonzero(upto(at) - upto(since))
+        effects.append(((user[row] * kinds + k) * kinds + own[row], row))
+    cp, crow, n = (np.concatenate(x) for x in zip(*causes, strict=True))
+    fp, frow = (np.concatenate(x) for x in zip(*effects, strict=True))
+    patterns, cp = np.unique(cp, return_inverse=True)
+    fp = np.searchsorted(patterns, fp)
+    total = lambda p, w=None: np.bincount(p, w, patterns.size)
+
+    def distinct(p, row):
+        named = ident[row] >= 0
+        return total(np.unique(p[named] * (len(known) + 1) + ident[row[named]]) // (len(known) + 1))
+
+    ids = distinct(cp, crow), distinct(fp, frow)
+    support = total(cp, n).astype(np.int64)
+    cp, crow = cp[once[0][crow]], crow[once[0][crow]]
+    fp, frow = fp[once[1][frow]], frow[once[1][frow]]
+    before = np.sort(cp * width + at[crow])
+    later = total(fp, np.searchsorted(before, fp * width + at[frow]) - np.searchsorted(before, fp * width)).astype(np.int64)
+    fp, v = fp[valued[frow]], value[frow[valued[frow]]]
+    nv = total(fp)
+    with np.errstate(invalid="ignore"):
+        mean = total(fp, v) / np.maximum(nv, 1)
+        variance = total(fp, (v - mean[fp]) ** 2) / np.maximum(nv, 1)
+    who, cause, effect = patterns // kinds**2, patterns // kinds % kinds, patterns % kinds
+    return pa.table({"user_id": users.take(pa.array(who)), "cause_type": types.take(pa.array(cause)), "effect_type": types.take(pa.array(effect)), "support": support, "is_cause": ids[0], "is_effect": ids[1], "nv": nv, "mean": mean, "variance": variance, "later": later})
+
+
+def _evidence(e: DataFrame) -> DataFrame:
+    """What strength is made of, by user and pair of types.  Events go to a task by user, SHARE of events times types at a time, and only the result leaves it; users beyond HOT are divided by day."""
+    e = e.where("user_id is not null and us is not null and event_type is not null").withColumn("value", F.col("value").cast("double"))
+    size = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg((F.sum("n") * F.count(F.lit(1))).alias("size"))
+    hot = stored(size.where(F.col("size") > HOT).select("user_id")) if (most := size.agg(F.sum("size"), F.max("size")).first())[1] and most[1] > HOT else None
+    few = e if hot is None else e.join(hot, "user_id", "left_anti")
+    share = F.pmod(F.xxhash64("user_id"), F.lit(max(e.sparkSession.sparkContext.defaultParallelism, -(-int(most[0] or 0) // SHARE))))
+    kind = e.schema["user_id"].dataType.simpleString()
+    g = few.groupBy(share).applyInArrow(_pairs_of_types, f"user_id {kind}, cause_type string, effect_type string, support bigint, is_cause bigint, is_effect bigint, nv bigint, mean double, variance double, later bigint")
+    return g if hot is None else g.unionByName(_divided(e.join(hot, "user_id", "left_semi")))
+
+
 def _six(x):
     """x to six places as SQL does it, by the scaled double; Spark's own round takes the decimal digits, and ties come out otherwise."""
     return F.round(x * 1e6) / 1e6
@@ -52,11 +134,7 @@ def causal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     consistency (share of later effects among all pairs of a cause and an effect), 0.20 outcome stability (1 - coefficient of variation
     of the effects' values, 0.5 for fewer than two or a mean not above 0) and 0.15 log of the support, full at 20."""
     keys = ["user_id", "cause_type", "effect_type"]
-    t = _ends(spark, sf_dir)
-    strict = F.lit(True).alias("strict")
-    later = counted(t.where("is_cause = 1").select(*keys, F.col("us").alias("x")), t.where("is_effect = 1").select(*keys, F.col("us").alias("x"), strict), keys, 3600000000).groupBy(*keys).agg(F.sum("n").alias("later"))
-    ids = [F.count_distinct(F.when(F.col(c) == 1, F.col("event_id"))).alias(c) for c in ("is_cause", "is_effect")]
-    g = t.groupBy(*keys).agg(F.sum("support").alias("support"), *ids, F.count("value").alias("nv"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")).join(later, keys)
+    g = _evidence(_events(spark, sf_dir))
     stable = F.when((F.col("nv") >= 2) & (F.col("mean") > 0), F.greatest(F.lit(0.0), 1 - F.sqrt("variance") / F.col("mean"))).otherwise(0.5)
     # multiplied first, as in the SQL: ties of the rounding hang on it; and, as there, infinite where no event has an id
     in_order = F.coalesce(F.try_divide(0.30 * F.col("later"), F.col("is_cause").cast("double") * F.col("is_effect")), F.lit(float("inf")))
