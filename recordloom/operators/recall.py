@@ -105,20 +105,15 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bit_signal(spark, sf_dir, n=PER_SIGNAL):
-    """Tanimoto of the query's bits and the text's: the bits are exploded and met with the query's, as postings are, so only records that share one go on."""
-    q = B.with_bits(_queries(spark), F.col("q")).select("query", F.explode("bits").alias("bit"), F.size("bits").alias("qn"))
-    r = B.with_bits(records(spark, sf_dir).select("id", "content"), F.col("content"))
-    r = r.select("id", F.size("bits").alias("rn"), F.explode("bits").alias("bit"))
-    hit = r.join(F.broadcast(q.select("query", "bit", "qn")), "bit").groupBy("query", "id").agg(F.count(F.lit(1)).alias("k"), F.first("rn").alias("rn"), F.first("qn").alias("qn"))  # two texts of a line each
+    """Tanimoto of the query's bits and the text's: counted where the text is, as a text's bits are many times the text."""
+    hit = B.overlaps(records(spark, sf_dir).select("id", "content"), F.col("content"), list(ASKED))
     return _top(hit.select("query", "id", F.round(F.col("k") / (F.col("rn") + F.col("qn") - F.col("k")), 9).alias("score")), "bits", n)
 
 
 def ngram_signal(spark, sf_dir, n=PER_SIGNAL):
     """Share of equal positions of the query's MinHash signature and the text's."""
-    own = B.signatures(records(spark, sf_dir).select("id", "content"), F.col("content"))
-    asked = B.signatures(_queries(spark).select(F.col("query").alias("id"), "q"), F.col("q")).select(F.col("id").cast("int").alias("query"), F.col("sig").alias("asked"))
-    r = own.crossJoin(F.broadcast(asked))  # two rows
-    return _top(r.select("query", "id", F.round(B.agreement(F.col("sig"), F.col("asked")), 9).alias("score")), "ngrams", n)
+    r = B.agreements(records(spark, sf_dir).select("id", "content"), F.col("content"), _queries(spark), F.col("q"))
+    return _top(r.select("query", "id", F.round("share", 9).alias("score")), "ngrams", n)
 
 
 def bit_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,12 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from recordloom.operators import causal
+from recordloom.functions import bits as B
+from recordloom.operators import causal, recall
 
 
 def shuffled(spark, df):
@@ -51,3 +54,50 @@ def test_users_divided_by_day_and_others_come_out_as_in_sql(spark, tmp_path, mon
     got = sorted(tuple(r) for r in causal.causal_strength(spark, d).select("user_id", "cause_type", "effect_type", "support", "lift", "strength").collect())
     assert len(got) > 50 and [r[:4] for r in got] == [r[:4] for r in want]
     assert max(abs(a - b) for x, y in zip(got, want, strict=True) for a, b in zip(x[4:], y[4:], strict=True)) <= 1e-6
+
+
+TEXTS = ["", "a", "Ab", " the trend of the pattern ", "Größe und Maß, the END", *(f"word{i} of {i * 7919 % 1000} and the rest" for i in range(400)), "x" * 5000]
+
+
+def test_arrays_go_back_to_the_jvm_in_parts():
+    out = list(B._added("bits", B.bits, pa.int32())([pa.RecordBatch.from_arrays([pa.array(range(8000)), pa.array([f"text {i} of {i * 7919}" * 20 for i in range(8000)])], names=["id", "t"])]))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(8000))
+    assert max(b.column(1).values[b.column(1).offsets[0].as_py() :].__len__() for b in out) <= B.PART + B.RANGE
+
+
+def test_bits_in_pieces_are_the_same(monkeypatch):
+    plain = lambda t: sorted({h * s % B.P % B.RANGE for n, k in B.PER_GRAM.items() for h in (int(x) for x in B.hashes(B.codes(t), n)) for s in B.SPREAD[:k]})
+    want = [plain(t) for t in TEXTS]
+    for piece in (7, 1 << 18):
+        monkeypatch.setattr(B, "PIECE", piece)
+        assert [B.bits(t).tolist() for t in TEXTS] == want
+
+
+def test_bits_and_signatures_stay_in_the_worker(spark):
+    df = spark.createDataFrame([*enumerate(TEXTS), (9999, None)], "id long, t string")
+    asked = ["en src1 size2", "the trend of the pattern"]
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    low = [t.strip(" ").lower() for t in TEXTS]
+    hit = B.overlaps(df, F.col("t"), asked)
+    own, q = [set(B.bits(t).tolist()) for t in low], [set(B.bits(t).tolist()) for t in asked]
+    assert "Generate" not in plan(hit)
+    assert {tuple(r) for r in hit.collect()} == {(i, j, len(a & b), len(a), len(b)) for i, a in enumerate(own) for j, b in enumerate(q) if a & b}
+    n = B.united(df.where("id < 9999").select((F.col("id") % 3).cast("string").alias("key"), "t"), F.col("t"))
+    got = {r.key: (r.n, r.total) for r in n.collect()}
+    sets = {str(k): set().union(*(a for i, a in enumerate(own) if i % 3 == k)) for k in range(3)}
+    assert got == {k: (len(x), sum(x)) for k, x in sets.items()}
+
+
+def test_recall_does_not_list_bits(spark):
+    plan = recall.bit_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+
+
+def test_signatures_agree_as_in_plain_python(spark):
+    a, b = B.permutations()
+    sig = lambda t: [min((int(x) * int(s) + int(y)) % B.P for s in h) for x, y in zip(a, b, strict=True)] if (h := B.hashes(B.codes(t), 3)).size else None
+    texts = [t.lower().replace(",", " ") for t in TEXTS[:60]] + ["the trend of the pattern again"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    asked = spark.createDataFrame([(0, "the trend of the pattern"), (1, "a"), (2, "word7 of the rest")], "query int, q string")
+    want = {(i, j, sum(x == y for x, y in zip(s, z, strict=True)) / 128) for i, t in enumerate(texts) for j, z in ((0, sig("the trend of the pattern")), (2, sig("word7 of the rest"))) if (s := sig(t)) and any(x == y for x, y in zip(s, z, strict=True))}
+    assert {tuple(r) for r in B.agreements(df, F.col("t"), asked, F.col("q")).collect()} == want
