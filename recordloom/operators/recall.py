@@ -126,10 +126,11 @@ def ngram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record's number of bits and their sum, and its similarity to the record before it in its namespace's numbering."""
-    r = B.with_bits(records(spark, sf_dir).select("id", "content"), F.col("content")).select("id", "bits")
-    prev = r.select((F.col("id") + STEPS[1]).alias("pid"), F.col("bits").alias("pbits"))
-    j = r.join(prev, F.col("id") == F.col("pid"), "left")
-    return j.select("id", F.size("bits").cast("bigint").alias("n"), F.aggregate("bits", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.round(B.tanimoto(F.col("bits"), F.col("pbits")), 6).alias("tanimoto"), F.round(F.coalesce(1 - B.tanimoto(F.col("bits"), F.col("pbits")), F.lit(1.0)), 6).alias("surprise"))
+    r = records(spark, sf_dir).select("id", "content")
+    prev = r.select((F.col("id") + STEPS[1]).alias("pid"), F.col("content").alias("before"))
+    t = B.pairs(r.join(prev, F.col("id") == F.col("pid"), "left"), F.col("content"), F.col("before"))
+    alike = F.when((F.col("n") > 0) & (F.col("m") > 0), F.col("k") / F.greatest(F.col("n") + F.col("m") - F.col("k"), F.lit(1))).otherwise(0.0)
+    return t.select("id", "n", "total", F.round(alike, 6).alias("tanimoto"), F.round(1 - alike, 6).alias("surprise"))
 
 
 def fuse(signals: DataFrame, n_signals: int) -> DataFrame:

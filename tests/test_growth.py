@@ -8,7 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import bits as B
-from recordloom.operators import causal, recall
+from recordloom.operators import causal, recall, texts
+
+
+def _list(sc, none, halves):
+    stages = sc.statusStore().stageList(none, False, False, halves, none)
+    return [stages.apply(i) for i in range(stages.size())]
 
 
 def shuffled(spark, df):
@@ -19,8 +24,7 @@ def shuffled(spark, df):
 
     def so_far():
         sc.listenerBus().waitUntilEmpty()
-        stages = sc.statusStore().stageList(none, False, False, halves, none)
-        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+        return sum(s.shuffleWriteBytes() for s in _list(sc, none, halves))
 
     before = so_far()
     rows = df().collect()
@@ -101,3 +105,44 @@ def test_signatures_agree_as_in_plain_python(spark):
     asked = spark.createDataFrame([(0, "the trend of the pattern"), (1, "a"), (2, "word7 of the rest")], "query int, q string")
     want = {(i, j, sum(x == y for x, y in zip(s, z, strict=True)) / 128) for i, t in enumerate(texts) for j, z in ((0, sig("the trend of the pattern")), (2, sig("word7 of the rest"))) if (s := sig(t)) and any(x == y for x, y in zip(s, z, strict=True))}
     assert {tuple(r) for r in B.agreements(df, F.col("t"), asked, F.col("q")).collect()} == want
+
+
+def test_text_bits_shuffle_texts_and_not_bits(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 7)))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(300)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, wrote = shuffled(spark, lambda: recall.text_bits(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert len(rows) == 300 and wrote < 4 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("query", ["record_format", "preamble"])
+def test_records_without_a_cause_and_hot_groups_are_no_single_task(spark, tmp_path, query):
+    n = 1500  # all without a cause, of one namespace and level, and with long texts
+    rng = np.random.default_rng(3)
+    texts_ = [" ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(60)) for _ in range(n)]
+    spark.createDataFrame([(i * 20, t, "en", "s", len(t)) for i, t in enumerate(texts_)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sc = spark.sparkContext._jsc.sc()
+    none, halves = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sc.listenerBus().waitUntilEmpty()
+        known = {s.stageId() for s in _list(sc, none, halves)}
+        texts.QUERIES[query](spark, str(tmp_path)).collect()
+        sc.listenerBus().waitUntilEmpty()
+        most = 0
+        for s in _list(sc, none, halves):
+            if s.stageId() not in known and s.status().toString() == "COMPLETE":
+                tasks = sc.statusStore().taskList(s.stageId(), s.attemptId(), 1000)
+                most = max(most, *(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().localBytesRead() for i in range(tasks.size())))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert most < 0.6 * sum(map(len, texts_))
