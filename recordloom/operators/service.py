@@ -56,8 +56,9 @@ def recall_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recall_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recall's ten best as lines for a prompt, best first, within a budget of tokens (as a hash with counts)."""
-    top = recall.recall_fused(spark, sf_dir).select("query", "id", "rank")
-    j = stored(top).join(texts._formatted(spark, sf_dir).select("id", "line"), "id").withColumn("tokens", T.token_estimate(F.col("line")))
+    top = stored(recall.recall_fused(spark, sf_dir).select("query", "id", "rank"))
+    some = records(spark, sf_dir).join(F.broadcast(top.select("id").distinct()), "id", "left_semi")  # ten of each query
+    j = top.join(texts._formatted(spark, sf_dir, some).select("id", "line"), "id").withColumn("tokens", T.token_estimate(F.col("line")))
     j = j.withColumn("upto", F.sum("tokens").over(Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= texts.BUDGET)
     g = j.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"), F.count(F.lit(1)).alias("n"), F.max("upto").alias("tokens"))
     return g.select("query", F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"), "n", "tokens")

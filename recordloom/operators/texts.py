@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.counting import stored
 from ..sources.records import CONNECTIONS_SQL, ORIGIN, PHRASES, RECORDS_SQL, SEMANTIC, _sql_pick, connections, pick, records, table
 from . import sqltext as Q
 
@@ -159,15 +160,18 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text(F.array_union("w", "s")).alias("synonyms"), text(F.array_union("w", "u")).alias("upward"), text(F.array_union("w", "d")).alias("downward"), text(F.array_distinct(F.flatten(F.array("w", "s", "u", "d")))).alias("combined"), F.array_contains("u", "animal").alias("is_animal"))
 
 
-def _formatted(spark, sf_dir) -> DataFrame:
-    r = records(spark, sf_dir)
+def _formatted(spark, sf_dir, some: DataFrame | None = None) -> DataFrame:
+    """Records, or some of them, as lines.  Those without a cause go by their own id, as all nulls would be one task's."""
+    every = records(spark, sf_dir)
+    r = every if some is None else some
     tags = F.when(F.size("tags") > 0, F.concat(F.lit(" ["), F.array_join("tags", ", "), F.lit("]"))).otherwise("")
     source = F.when(F.col("source_type") != "recorded", F.concat(F.lit(" ["), "source_type", F.lit("]"))).otherwise("")
     kind = F.when(F.col("semantic_type") != "fact", F.concat(F.lit(" {"), "semantic_type", F.lit("}"))).otherwise("")
     fence = lambda name, lang: F.concat(F.lit(f"  - [{name}]"), source, kind, tags, F.lit(f"\n```{lang}\n"), "content", F.lit("\n```"))
     base = F.when(F.col("content_type") == "code", fence("CODE", "")).when(F.col("content_type") == "json", fence("JSON", "json")).otherwise(F.concat(F.lit("  - "), "content", source, kind, tags))
-    cause = r.select(F.col("id").alias("parent"), F.substring("content", 1, 120).alias("preview"))
-    j = r.select("id", "namespace", "level", "strength", "caused_by", base.alias("base")).join(cause, F.col("caused_by") == F.col("parent"), "left")
+    cause = every.select(F.col("id").alias("parent"), F.lit(False).alias("none"), F.substring("content", 1, 120).alias("preview"))
+    up = (F.coalesce("caused_by", "id") == F.col("parent")) & (F.col("caused_by").isNull() == F.col("none"))
+    j = r.select("id", "namespace", "level", "strength", "caused_by", base.alias("base")).join(cause, up, "left")
     return j.select("id", "namespace", "level", "strength", F.concat("base", F.when(F.col("preview").isNotNull(), F.concat(F.lit("\n    ^ because: "), "preview")).otherwise("")).alias("line"))
 
 
@@ -182,6 +186,13 @@ def preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
     most = F.when(F.col("level") == 4, high).otherwise((BUDGET - high) // 3)
     w = Window.partitionBy("namespace", "level").orderBy(F.desc("strength"), "id").rowsBetween(Window.unboundedPreceding, 0)
     f = _formatted(spark, sf_dir).withColumn("tokens", T.token_estimate(F.col("line")))
+    # a line has a token at least, so only that many of a group can fit; the last that fits is found without the lines
+    first = Window.partitionBy("namespace", "level").orderBy(F.desc("strength"), "id")
+    place = F.struct(F.col("strength").isNull(), -F.col("strength"), "id")
+    few = f.select("namespace", "level", "strength", "id", "tokens").withColumn("i", F.row_number().over(first)).where(F.col("i") <= max(high, (BUDGET - high) // 3))
+    last = stored(few.withColumn("upto", F.sum("tokens").over(w)).where(F.col("upto") <= most).groupBy(F.col("namespace").alias("ns"), F.col("level").alias("lv")).agg(F.max(place).alias("last")))  # a row for each group
+    some = records(spark, sf_dir).join(F.broadcast(last), F.col("namespace").eqNullSafe(F.col("ns")) & F.col("level").eqNullSafe(F.col("lv")) & (place <= F.col("last")), "left_semi")
+    f = _formatted(spark, sf_dir, some).withColumn("tokens", T.token_estimate(F.col("line")))
     f = f.withColumn("upto", F.sum("tokens").over(w)).where(F.col("upto") <= most)
     g = f.groupBy("namespace", "level").agg(F.array_sort(F.collect_list(F.struct("upto", (-F.col("strength")).alias("s"), "id", "line"))).alias("l"), F.count(F.lit(1)).alias("n"), F.max("upto").alias("tokens"))
     return g.select("namespace", F.col("level").cast("bigint").alias("level"), F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"), "n", "tokens")
