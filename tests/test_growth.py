@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import bits as B
-from recordloom.operators import causal, recall, texts
+from recordloom.operators import causal, concepts, recall, texts
 
 
 def _list(sc, none, halves):
@@ -146,3 +146,20 @@ def test_records_without_a_cause_and_hot_groups_are_no_single_task(spark, tmp_pa
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
     assert most < 0.6 * sum(map(len, texts_))
+
+
+@pytest.mark.parametrize("held", [3, 1 << 20])
+def test_terms_are_counted_where_the_texts_are(spark, monkeypatch, held):
+    monkeypatch.setattr(concepts, "HELD", held)
+    said = ["The garden, the (garden) and\u00a0x", "«Größe» größe! ab\vcd ef a--b", "", None, "... --- 12 123 12³", "garden's -garden- THE\tof\x1cword"]
+    rows = [(k, t) for k in ("a:fact", "b:trend") for t in (said if k == "a:fact" else said[::2])]
+    df = spark.createDataFrame(rows, "key string, content string")
+    out = list(concepts._counted_terms([pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([(t or "").lower().encode() for _, t in rows])], names=["key", "t"])]))
+    mine = {}
+    for b in out:
+        for k, t, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            mine[k, t] = mine.get((k, t), 0) + n
+    w = F.transform(F.filter(F.split(F.lower("content"), r"[ \t\n\f\r]+"), lambda x: F.octet_length(x) >= 3), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    plain = df.select("key", F.explode(F.array_distinct(F.filter(w, lambda x: (x != "") & ~x.isin(*concepts.STOP)))).alias("term")).groupBy("key", "term").count()
+    want = {(r["key"], r["term"]): r["count"] for r in plain.collect()}
+    assert mine == want and {(r.key, r.term): r.k for r in concepts.key_terms(df).collect()} == want
