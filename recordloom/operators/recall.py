@@ -19,6 +19,7 @@ ASKED = ("en src1 size2", "de src3 the of and")
 K, PER_SIGNAL, EXPANDED = 10, 40, 30
 SIGNALS = ("bits", "ngrams", "tags")
 TOP, BLOCK_ROWS = 20, 4096
+BLOCK_BYTES, TILE = 16 << 20, 1 << 20  # of a large table's block as doubles; scores at a time
 
 
 def _queries(spark: SparkSession) -> DataFrame:
@@ -72,13 +73,14 @@ def _block_pair(left: pa.Table, right: pa.Table) -> pa.Table:
     """The best TOP of the right block for each row of the left one, equal scores by id; rows left without a positive score give none."""
     queries, _ = _unit(left)
     others, ids = _unit(right)
-    found = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     for d, (rows, m) in queries.items():
         if d not in others or not others[d][0].size:
             continue
         cols, v = others[d]
-        for lo in range(0, rows.size, 512):
-            score = np.round(m[lo : lo + 512] @ v.T, 6)
+        step = max(1, TILE // cols.size)
+        for lo in range(0, rows.size, step):
+            score = np.round(m[lo : lo + step] @ v.T, 6)
             least = np.partition(score, -TOP, axis=1)[:, -TOP] if cols.size > TOP else np.full(score.shape[0], -np.inf)
             r, c = np.nonzero((score >= least[:, None]) & (score > 0))
             value = score[r, c]
@@ -86,16 +88,23 @@ def _block_pair(left: pa.Table, right: pa.Table) -> pa.Table:
             r, c, value = r[order], c[order], value[order]
             place = np.arange(r.size) - np.searchsorted(r, r)
             keep = place < TOP
-            found = [np.concatenate(x) for x in zip(found, (rows[lo + r[keep]], cols[c[keep]], value[keep]), strict=True)]
-    q, c, value = found
+            found.append((rows[lo + r[keep]], cols[c[keep]], value[keep]))
+    q, c, value = (np.concatenate(x) for x in zip(*found, strict=True))
     return pa.table({"row": left["row"].take(pa.array(q)), "query": left["id"].take(pa.array(q)), "vec_id": right["id"].take(pa.array(c)), "score": pa.array(value, pa.float64())})
 
 
+def blocks(rows: int, numbers: int, cores: int) -> int:
+    """Blocks on either side: few, so that little is shuffled, but four pairs for each core while blocks are larger than BLOCK_ROWS."""
+    return max(1, -(-numbers * 8 // BLOCK_BYTES), min(-(-rows // BLOCK_ROWS), int(np.ceil(np.sqrt(4 * cores)))))
+
+
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each vector the TOP nearest by cosine, itself among them: query, vec_id, score; a vector of another length or without length
-    counts as 0.  All pairs are compared, by matrix products of blocks of about BLOCK_ROWS vectors."""
+    counts as 0.  All pairs are compared, by matrix products of blocks.  A vector is shuffled twice for each block, so these are as large as BLOCK_BYTES
+    allows, and of about BLOCK_ROWS vectors only where there would be too few for all cores."""
     e = table(spark, sf_dir, "embeddings").select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("v"))
-    n = max(1, -(-e.count() // BLOCK_ROWS))
+    size = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    n = blocks(size[0], size[1], spark.sparkContext.defaultParallelism)
     own, every = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = e.select("*", own.alias("a"), every.alias("b"))
     right = e.select("*", own.alias("b"), every.alias("a"))

@@ -163,3 +163,18 @@ def test_terms_are_counted_where_the_texts_are(spark, monkeypatch, held):
     plain = df.select("key", F.explode(F.array_distinct(F.filter(w, lambda x: (x != "") & ~x.isin(*concepts.STOP)))).alias("term")).groupBy("key", "term").count()
     want = {(r["key"], r["term"]): r["count"] for r in plain.collect()}
     assert mine == want and {(r.key, r.term): r.k for r in concepts.key_terms(df).collect()} == want
+
+
+def test_vectors_are_shuffled_for_few_blocks():
+    n = 700_000  # of 64 numbers: 171 blocks of BLOCK_ROWS before
+    assert recall.blocks(n, 64 * n, 12) <= 22 and recall.blocks(0, 0, 12) == 1
+    assert recall.blocks(50_000, 50_000 * 64, 12) == 7 and recall.blocks(2000, 2000 * 4096, 12) >= 4
+
+
+def test_large_blocks_hold_few_scores_at_a_time(monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(300, 6)).round(1)
+    t = pa.table({"row": pa.array(range(300), pa.int64()), "id": pa.array(range(300), pa.int64()), "v": pa.array(v.tolist(), pa.list_(pa.float32()))})
+    want = recall._block_pair(t, t).to_pydict()
+    monkeypatch.setattr(recall, "TILE", 700)
+    assert recall._block_pair(t, t).to_pydict() == want
