@@ -1,10 +1,17 @@
-"""Rules on text as column expressions: guards, salience, anchors, claims, time phrases, normal forms.  All on the JVM."""
+"""Rules on text as column expressions: guards, salience, anchors, claims, time phrases, normal forms.  All on the JVM but the counts of words in word_scores."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bits import small_batches
+
 PHONE = r"(?:\+?[0-9]{1,3}[.\s-]?)?\(?[0-9]{2,4}\)?[.\s-]?[0-9]{3,4}[.\s-]?[0-9]{2,4}"
 EMAIL = r"[A-Za-z0-9.%_+-]+@[A-Za-z0-9-.]+\.[A-Za-z]{2,}"
 WALLET = r"(?:T[A-Za-z0-9]{33}|0x[A-Fa-f0-9]{40}|[13][1-9A-HJ-NP-Za-km-z]{25,34})"
@@ -120,6 +127,41 @@ def with_entropy(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.size("_first") > 1, h / F.log2(F.size("_first").cast("double"))).otherwise(0.0)).drop("_words", "_first", "_n")
 
 
+_GROUPS = (IDENTITY_WORDS, FACT_WORDS, *(k for k, _ in EMOTIONS), *INTENSE)
+
+
+def _counts(batches):
+    """The last column (the text in lower case) replaced by how many of its words are of each of _GROUPS, and the entropy of the words of the text before it."""
+    groups = [frozenset(g) for g in _GROUPS]
+    some, word = frozenset().union(*groups), re.compile(r"\w+")  # letters, digits and underscores of any script
+    for batch in batches:
+        n, e = [], []
+        for text, low in zip(batch.column(1), batch.column(2), strict=True):
+            found = Counter(filter(some.__contains__, word.findall(low.as_py() or "")))
+            n.append([sum(found[w] for w in found if w in g) for g in groups])
+            k = np.fromiter(Counter(re.split(r"[ \t\n\r]+", (text.as_py() or "").strip(" \t\n\r"))).values(), float)
+            p = k / k.sum()
+            e.append(float(-(p * np.log2(p)).sum() / np.log2(p.size)) if p.size > 1 else 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.list_(pa.int32())), pa.array(e, pa.float64())], names=["id", "content", "k", "e"])
+
+
+def word_scores(r: DataFrame) -> DataFrame:
+    """r (id, content) with x, legacy and critical, as of intensity, salience_legacy and safety_critical, and e, the Shannon entropy of the words
+    between white space over the most that so many distinct words can have, 0 for fewer than two; one pass over each text in Python."""
+    small_batches(r.sparkSession)
+    c = r.select("id", "content", F.lower("content")).mapInArrow(_counts, "id bigint, content string, k array<int>, e double")
+    n, at = (lambda i: F.get("k", F.lit(i))), {"identity": 0, "facts": 1, "emotions": 2, "intense": 2 + len(EMOTIONS)}
+    some, digit = (lambda i: (n(i) > 0).cast("int")), F.col("content").rlike("[0-9]")
+    kinds = range(at["intense"], at["intense"] + len(INTENSE))
+    legacy = F.round(0.5 + some(at["identity"]) + 1.5 * digit.cast("int") + F.least(0.5 * sum((some(i) for i in kinds), F.lit(0)), F.lit(1.0)), 2)
+    x = some(at["identity"]).cast("double") + (digit | (n(at["facts"]) > 0)).cast("double")
+    for j, (_, weight) in enumerate(EMOTIONS):
+        x = x + weight * n(at["emotions"] + j)
+    x = x + F.least(0.5 * sum((n(i) for i in kinds), F.lit(0)), F.lit(2.0))
+    critical = sum((n(at["emotions"] + j) for j, (_, weight) in enumerate(EMOTIONS) if weight >= 2.5), F.lit(0)) > 0
+    return c.select("id", "content", "e", x.alias("x"), legacy.alias("legacy"), critical.alias("critical"))
+
+
 def salience(intensity_: Column, entropy_: Column) -> Column:
     return F.round(F.least(F.greatest((0.5 * intensity_ + 0.3 * entropy_ + 0.2) * 2.5, F.lit(0.0)), F.lit(10.0)), 2)
 

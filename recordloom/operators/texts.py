@@ -50,14 +50,14 @@ def url_credibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    c = F.col("content")
-    r = records(spark, sf_dir).select("id", "content", T.words(c).alias("w"))
-    return r.select("id", "content", "w", T.intensity(c, F.col("w")).alias("x"))
+    """id, content, x (intensity), e (entropy of the words), legacy, critical: words are counted in Python, as on the JVM a lambda is interpreted for each."""
+    r = records(spark, sf_dir).select("id", "content")
+    return T.word_scores(r)
 
 
 def salience_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = T.with_entropy(_scored(spark, sf_dir), "content", "e")
-    return s.select("id", T.salience_legacy(F.col("content"), F.col("w")).alias("legacy"), F.round("x", 6).alias("intensity"), F.round("e", 6).alias("entropy"), T.salience(F.round("x", 6), F.round("e", 6)).alias("salience"), T.safety_critical(F.col("w")).alias("critical"))
+    s = _scored(spark, sf_dir)
+    return s.select("id", "legacy", F.round("x", 6).alias("intensity"), F.round("e", 6).alias("entropy"), T.salience(F.round("x", 6), F.round("e", 6)).alias("salience"), "critical")
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import bits as B
+from recordloom.functions import text as T
 from recordloom.operators import causal, concepts, recall, texts
 
 
@@ -178,3 +179,14 @@ def test_large_blocks_hold_few_scores_at_a_time(monkeypatch):
     want = recall._block_pair(t, t).to_pydict()
     monkeypatch.setattr(recall, "TILE", 700)
     assert recall._block_pair(t, t).to_pydict() == want
+
+
+def test_words_are_counted_as_by_the_column_expressions(spark):
+    said = [*TEXTS[:9], "I love it, LOVE it always; my secret_key: critical!", "very very important  never\n\nhate 12", "дуже важливо, я люблю", "x\u00a0y\u0085z love\u00b2 born", " \t", "a a b", "critical danger, me"]
+    df = spark.createDataFrame([*enumerate(said)], "id long, content string")
+    c, w = F.col("content"), T.words(F.col("content"))
+    plain = T.with_entropy(df, "content", "e").select("id", T.intensity(c, w).alias("x"), T.salience_legacy(c, w).alias("legacy"), T.safety_critical(w).alias("critical"), "e")
+    want = {r.id: r for r in plain.collect()}
+    for r in T.word_scores(df).collect():
+        p = want[r.id]
+        assert (r.x, r.legacy, r.critical) == (p.x, p.legacy, p.critical) and r.e == pytest.approx(p.e, abs=1e-12), r
